@@ -23,6 +23,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.save(low, f"{name}_{turn}_low")  # a table, so that the join can split a hot node
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.save(large.filter("u <> v").distinct(), f"{name}_{turn}_large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))

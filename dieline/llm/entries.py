@@ -39,12 +39,12 @@ ORACLE = {
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(
                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                       '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
             FROM documents
         ), sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
                                 WHEN len(w) = 1 THEN [w[1]]
-                                ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+                                ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
             FROM words
         ), items AS (
             SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets

@@ -157,6 +157,7 @@ def near_dedup(
 
     halves = classes.select("cid", F.posexplode("half").alias("at", "hk"))
     twice = halves.groupBy("hk").agg(F.count("*").alias("c")).filter("c > 1").select("hk")
+    twice = scratch.save(twice, "twice")  # a table, so that the join below can split a hot key
     left = F.col("at") < collections
     both = halves.join(twice, "hk").groupBy("cid").agg(
         F.collect_list(F.when(left, F.col("hk"))).alias("l"), F.collect_list(F.when(~left, F.col("hk"))).alias("r")
@@ -164,7 +165,8 @@ def near_dedup(
     keys = both.select("cid", "r", F.explode("l").alias("a")).select("cid", "a", F.explode("r").alias("b"))
     keys = scratch.save(keys.select("cid", F.xxhash64("a", "b").alias("key")), "keys")
     buckets = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    members = scratch.save(keys.join(buckets.select("key", "pivot"), "key"), "members")
+    buckets = scratch.save(buckets.select("key", "pivot"), "buckets")
+    members = scratch.save(keys.join(buckets, "key"), "members")
     scratch.drop("keys")
 
     involved = members.select("cid").distinct().join(classes.select("cid", "doc_id", "digest"), "cid")
@@ -206,7 +208,8 @@ def near_dedup(
     label = classes.select("cid", "digest", "doc_id").join(label.withColumnRenamed("node", "cid"), "cid", "left")
     label = scratch.save(label.withColumn("label", F.coalesce("label", "cid")), "label")
     smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    final = label.join(smallest, "label").select("digest", "component_id")
+    smallest = scratch.save(smallest, "smallest")
+    final = scratch.save(label.join(smallest, "label").select("digest", "component_id"), "final")
     out = signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
