@@ -83,14 +83,14 @@ def exact_dedup(
         ready = single.unionByName(heads.join(ends, "rid"))
 
     same = ["level", "name"]
-    groups = ready.groupBy(*same).agg(
-        F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top")
-    )
-    return ready.join(groups, same).select(
+    groups = ready.groupBy(*same).agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top"))
+    groups = scratch.save(groups.filter("group_size > 1"), "groups")  # a table, so that the join can split a hot group
+    alone = F.col("group_size").isNull()
+    return ready.join(groups, same, "left").select(
         "doc_id",
-        F.col("top.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("top.rid")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
+        (alone | (F.col("rid") == F.col("top.rid"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
