@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +127,7 @@ def near_dedup(
     percent: int = 80,
     collections: int = 14,
     rows: int = 3,
+    words: int = 8,
 ) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -134,11 +137,13 @@ def near_dedup(
     probability 9e-5 (14 collections of 3 rows), at 0.9 with probability 1e-8. Half keys that only one
     class has are left out before they are combined.
 
-    In a table's bucket every class is verified against the bucket's smallest class. Classes that end
-    in another component than that one are then verified against the bucket's members of other
-    components, unless their distances to the smallest class differ by more than the threshold's
-    distance, when the triangle inequality excludes a link. So no bucket is cut, a bucket of one large
-    group costs one pair a member, and every candidate pair is verified or already connected.
+    In a table's bucket every class is verified against the bucket's smallest class, the pivot. A
+    class that ends in another component than a pivot of it can still link with other classes of that
+    pivot. Those pairs are verified too, except where whole sets rule a link out: a class's overlap
+    with another is at most the number of its shingles that occur in a second class of these, less
+    those that a bitmap of words * 64 bits shows the other to lack; and by the triangle inequality two classes whose distances to the pivot differ by more than the
+    threshold's distance don't link. So no bucket is cut, a bucket of one large group costs one pair
+    a member, and every candidate pair is verified, excluded exactly or connected already.
     All similarities are those of whole sets of 64-bit shingle hashes.
 
     Cases: a text without words (or null) has n_shingles 0 and stands alone. A null id stands alone with a null
@@ -153,6 +158,8 @@ def near_dedup(
 
     sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
     classes = sets.agg(F.min("doc_id").alias("doc_id"), F.first("half").alias("half"))
+    # in order of their documents: the original, which is most like all its copies, comes before them
+    classes = classes.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     halves = classes.select("cid", F.posexplode("half").alias("at", "hk"))
@@ -186,23 +193,37 @@ def near_dedup(
     links = first.filter("link").select("a", "b")
     label = scratch.save(components(links, scratch, "part"), "part_label")
 
-    # members of another component than their bucket's smallest class
-    named = members.join(label.withColumnRenamed("node", "cid"), "cid", "left")
-    named = named.withColumn("label", F.coalesce("label", "cid"))
+    # pairs of classes that share a pivot, of which one isn't connected with it
+    named = members.select("cid", "pivot").distinct().filter("cid <> pivot").join(label.withColumnRenamed("node", "cid"), "cid", "left")
     top = label.select(F.col("node").alias("pivot"), F.col("label").alias("top"))
-    named = named.join(top, "pivot", "left").withColumn("top", F.coalesce("top", "pivot"))
+    named = named.withColumn("label", F.coalesce("label", "cid")).join(top, "pivot", "left")
     far = first.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"))
-    odd = scratch.save(named.filter("label <> top").join(far, ["cid", "pivot"]), "odd")
-    if not odd.isEmpty():
-        hit = odd.select("key").distinct()
-        around = named.join(hit, "key", "left_semi").filter("cid <> pivot").join(far, ["cid", "pivot"], "left")
-        around = around.select("key", F.col("cid").alias("o"), F.col("label").alias("ol"), F.col("top").alias("ot"), F.col("d").alias("od"))
-        near = (F.col("label") != F.col("ol")) & (F.abs(F.col("d") - F.col("od")) <= 1 - percent / 100 + 1e-9)
-        once = (F.col("ol") == F.col("ot")) | (F.col("cid") < F.col("o"))
-        more = odd.join(around, "key").filter(near & once)
-        more = more.select(F.greatest("cid", "o").alias("a"), F.least("cid", "o").alias("b")).distinct()
+    named = scratch.save(named.withColumn("top", F.coalesce("top", "pivot")).join(far, ["cid", "pivot"]), "named")
+    open_ = scratch.save(named.filter("label <> top").select("pivot").distinct(), "open")
+    if not open_.isEmpty():
+        around = named.join(open_, "pivot", "left_semi")
+        # a class shares at most the shingles that a second class here has as well
+        own = around.select("cid").distinct().join(items, "cid").select("cid", F.size("items").alias("n"), F.explode("items").alias("item"))
+        twice = scratch.save(own.groupBy("item").agg(F.count("*").alias("c")).filter("c > 1").select("item"), "twice_items")
+        bit = F.expr("shiftleft(1L, cast(pmod(item, 64) AS int))")
+        word = F.pmod(F.shiftrightunsigned("item", 6), F.lit(words))
+        bits = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0)).alias(f"b{k}") for k in range(words)]
+        can = own.join(twice, "item").groupBy("cid").agg(F.count("*").alias("e"), F.first("n").alias("n"), *bits)
+        can = scratch.save(can.filter(F.col("e") * 100 >= F.col("n") * percent), "can")
+        around = scratch.save(around.join(can, "cid"), "around")
+        odd = around.filter("label <> top")
+        other = around.select("pivot", *(F.col(c).alias(f"o_{c}") for c in ("cid", "label", "top", "d", *can.columns[1:])))
+        near = (F.col("label") != F.col("o_label")) & (F.abs(F.col("d") - F.col("o_d")) <= 1 - percent / 100 + 1e-9)
+        masks = [(F.col(f"b{k}"), F.col(f"o_b{k}")) for k in range(words)]
+        lone = reduce(add, (F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in masks))
+        o_lone = reduce(add, (F.bit_count(y.bitwiseAND(F.bitwise_not(x))) for x, y in masks))
+        most = F.least(F.col("e") - lone, F.col("o_e") - o_lone)
+        enough = most * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent
+        once = (F.col("o_label") == F.col("o_top")) | (F.col("cid") < F.col("o_cid"))
+        more = odd.join(other, "pivot").filter(near & enough & once)
+        more = more.select(F.greatest("cid", "o_cid").alias("a"), F.least("cid", "o_cid").alias("b")).distinct()
         more = more.join(first.select("a", "b"), ["a", "b"], "left_anti")
-        second = verified(more, "second")
+        second = verified(scratch.save(more, "more"), "second")
         links = links.unionByName(second.filter("link").select("a", "b"))
         label = components(links, scratch, "all")
     label = classes.select("cid", "digest", "doc_id").join(label.withColumnRenamed("node", "cid"), "cid", "left")
