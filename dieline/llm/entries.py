@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytelevel, naming, near, packing
+from . import bytelevel, lines, naming, near, packing, quality
 from .scratch import Scratch
 
 
@@ -12,6 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines removed of each document, with a digest of the rest."""
+    found = lines.line_dedup(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select(
+        "doc_id", "n_lines", "n_removed",
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytelevel.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +44,38 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = {
+    "op1_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(
+                       translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s
+            FROM lines
+        ), classes AS (
+            SELECT row_number() OVER (ORDER BY f.doc_id, f.pos) AS cid, s, len(s) AS n, f.doc_id AS first_doc, f.pos AS first_pos
+            FROM (SELECT s, min(struct_pack(doc_id := doc_id, pos := pos)) AS f FROM sets WHERE len(s) > 0 GROUP BY s)
+        ), items AS (
+            SELECT cid, n, unnest(s) AS item FROM classes
+        ), shared AS (
+            SELECT a.cid AS early, b.cid AS late, any_value(a.n) AS ne, any_value(b.n) AS nl, count(*) AS common
+            FROM items a JOIN items b ON a.item = b.item AND a.cid < b.cid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.cid, b.cid
+        ), matched AS (
+            SELECT DISTINCT late FROM shared WHERE 100 * common >= 80 * (ne + nl - common)
+        ), gone AS (
+            SELECT x.doc_id, x.pos
+            FROM sets x JOIN classes c ON c.s = x.s LEFT JOIN matched m ON m.late = c.cid
+            WHERE m.late IS NOT NULL OR x.doc_id <> c.first_doc OR x.pos <> c.first_pos
+        )
+        SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_removed,
+               coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY l.pos), '') AS removed_lines,
+               sha256(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS text_sha256
+        FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos
+        GROUP BY l.doc_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -70,6 +117,8 @@ ORACLE = {
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_quality": op2_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,

@@ -16,13 +16,13 @@ from .components import components
 from .scratch import Scratch
 
 #: Odd multipliers of the mixing steps.
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-class _Words(dict):
-    """Word -> 64-bit hash; forgets all when it holds too many."""
+class Words(dict):
+    """Word (bytes or str) -> 64-bit hash; forgets all when it holds too many."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) > 500_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -30,8 +30,8 @@ class _Words(dict):
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    x = (x ^ (x >> np.uint64(30))) * MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * MIX[2]
     return x ^ (x >> np.uint64(31))
 
 
@@ -47,7 +47,7 @@ def shingles(text: str | None, size: int, cache: dict) -> np.ndarray:
     n = min(size, len(words))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = mix(out * _MIX[0] + h[k : len(h) - n + 1 + k])
+        out = mix(out * MIX[0] + h[k : len(h) - n + 1 + k])
     return np.unique(out)
 
 
@@ -55,16 +55,16 @@ def half_keys(sets: list[np.ndarray], collections: int, rows: int) -> np.ndarray
     """2 * collections keys for each set, each from rows MinHash values; the sets aren't empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    seeds = mix(np.arange(1, 2 * collections * rows + 1, dtype=np.uint64) * _MIX[0])
+    seeds = mix(np.arange(1, 2 * collections * rows + 1, dtype=np.uint64) * MIX[0])
     keys = np.empty((len(sets), 2 * collections), np.uint64)
     for c in range(2 * collections):
         key = np.full(len(sets), c, np.uint64)
         for r in range(rows):
             v = flat ^ seeds[c * rows + r]
-            v *= _MIX[1]
+            v *= MIX[1]
             v ^= v >> np.uint64(32)
-            v *= _MIX[2]
-            key = mix(key * _MIX[0] + np.minimum.reduceat(v, starts))
+            v *= MIX[2]
+            key = mix(key * MIX[0] + np.minimum.reduceat(v, starts))
         keys[:, c] = key
     return keys
 
@@ -91,7 +91,7 @@ def _signatures(size: int, collections: int, rows: int, block: int = 60_000):
         )
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache = _Words()
+        cache = Words()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
@@ -104,7 +104,7 @@ def _sets(size: int):
     """(doc_id, text, digest, cid) batches -> cid, items, where the text has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache = _Words()
+        cache = Words()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 cids, items = [], []
