@@ -2,10 +2,190 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from ..functions import expressions as E
+from ..operators import analytics as A
+from .projection import EAV_CTE, eav
+
+_TABLES = {
+    "a1_kpis": A.kpis,
+    "a3_pareto": A.pareto,
+    "a4_wafer_yield": A.wafer_yield,
+    "a5_site_yield": A.site_yield,
+    "a6_hard_bins": A.hard_bins,
+    "a7_soft_bins": A.soft_bins,
+    "a8_commonality": A.commonality,
+    "a9_correlations": A.correlations,
+    "a10_xy_map": A.xy_map,
+    "a11_process_windows": A.process_windows,
+    "a12_data_quality": A.data_quality,
+}
+
+
+def _over_eav(operator, spark, sf_dir, **options):
+    return operator(eav(spark, sf_dir), **options)
+
+
+def a2_part_rollup(spark, sf_dir):
+    return A.part_rollup(eav(spark, sf_dir))
+
+
+def i1_merge_keys(spark, sf_dir):
+    """Rows by merge key (I1) and scoped part key."""
+    rows = eav(spark, sf_dir)
+    return rows.groupBy("part_merge_key", "part_key").agg(F.count("*").alias("n"))
+
+
+def p1_row_predicates(spark, sf_dir):
+    """P1-P5 for each row."""
+    rows = A.labelled(eav(spark, sf_dir))
+    limits = F.col("result"), F.col("lo_limit"), F.col("hi_limit")
+    return rows.select(
+        "obs_ord", A.row_failed().alias("failed"), E.limit_failed(*limits).alias("limit_failed"),
+        F.coalesce(E.finite(F.col("result")), F.lit(False)).alias("finite"), F.col("label_text").alias("label"),
+        E.wafer_label(F.col("wafer_id")).alias("wafer"), E.site_label(F.col("head_num"), F.col("site_num")).alias("site"),
+    )
+
+
+def p14_row_filter(spark, sf_dir):
+    rows = A.labelled(eav(spark, sf_dir)).select("obs_ord", "lot_id", "wafer_id", F.col("label_text").alias("label"))
+    return A.row_filter(rows, "PURCHASE")
+
+
+def p16_lot_switch(spark, sf_dir):
+    return A.pareto(eav(spark, sf_dir).filter(F.col("lot_id") == "LOT3"))
+
 
 def queries() -> dict:
-    return {}
+    found = {name: partial(_over_eav, operator) for name, operator in _TABLES.items()}
+    found |= {f"a13_{n.split('_', 1)[1]}_by_lot": partial(_over_eav, f, by=("lot_id",)) for n, f in _TABLES.items()}
+    own = (a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
+    return found | {f.__name__: f for f in own}
+
+
+_FIRST = "arg_min({0}, obs_ord) FILTER (WHERE {0} IS NOT NULL)"
+_PERCENT = "round(CASE WHEN {1} = 0 THEN 0.0 ELSE ({0}) * 100.0 / {1} END, 6)"
+
+
+def _dashboard(by: str) -> dict[str, str]:
+    """The SQL of the tables; by is empty or the grouping column with a comma."""
+    col = by.rstrip(", ")
+    group = f"GROUP BY {col}" if by else ""
+    over = f"PARTITION BY {col}" if by else ""
+
+    def top(order: str, n: int) -> str:
+        return f"QUALIFY row_number() OVER ({over} ORDER BY {order}) <= {n}"
+
+    parts = f"""
+        parts AS (
+            SELECT {by} part_key, bool_and(part_pass) AS passed, min(struct_pack(o := obs_ord, wafer_id := wafer_id, head_num := head_num,
+                   site_num := site_num, hard_bin := hard_bin, soft_bin := soft_bin)) AS f
+            FROM eav GROUP BY {by} part_key
+        )"""
+    stats = f"""
+        stats AS (
+            SELECT {by} test_num, arg_min(label_text, obs_ord) AS label, arg_min(test_type, obs_ord) AS test_type,
+                   {_FIRST.format("units")} AS units, count(*) AS total, count_if(test_pass) AS pass, count_if(NOT test_pass) AS fail,
+                   count_if(test_pass IS NULL) AS unknown, count_if(limit_failed) AS limit_fail, avg(number) AS mean,
+                   stddev_samp(number) AS sigma, min(number) AS min, max(number) AS max,
+                   CAST({_FIRST.format("lo_limit")} AS DOUBLE) AS lo_limit, CAST({_FIRST.format("hi_limit")} AS DOUBLE) AS hi_limit
+            FROM eav GROUP BY {by} test_num
+        )"""
+    pareto = "fail DESC, limit_fail DESC, total DESC, label, test_num"
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sigma", "min", "max", "lo_limit", "hi_limit"))
+
+    def yields(label: str) -> str:
+        return f"""WITH {EAV_CTE}, {parts} SELECT {by} {label} AS label, count(*) AS total, count_if(passed) AS pass,
+            count_if(NOT passed) AS fail, {_PERCENT.format("count_if(passed)", "count(*)")} AS yield_percent
+            FROM parts GROUP BY ALL"""
+
+    labels = {
+        "wafer": "coalesce({0}wafer_id, '(no wafer)')",
+        "site": "concat('H', {0}head_num, ' / S', {0}site_num)",
+        "hard": "concat('HBIN ', {0}hard_bin)",
+        "soft": "concat('SBIN ', {0}soft_bin)",
+    }
+    own = {k: v.format("") for k, v in labels.items()}
+    first = {k: v.format("f.") for k, v in labels.items()}
+    checks = {
+        "missing limits": "lo_limit IS NULL OR hi_limit IS NULL",
+        "missing part_id": "part_id = ''",
+        "missing result": "result IS NULL",
+        "missing test_pass": "test_pass IS NULL",
+        "missing test_time_ms": "test_time_ms IS NULL",
+        "missing wafer_id": "wafer_id IS NULL",
+        "missing x/y coordinate": "x_coord IS NULL OR y_coord IS NULL",
+        "unresolved coordinate identity": "part_merge_key IS NULL",
+    }
+    quality = " UNION ALL ".join(
+        f"SELECT {by} '{k}' AS label, count(*) AS total, count(*) - count_if({c}) AS pass, count_if({c}) AS fail, "
+        f"{_PERCENT.format(f'count(*) - count_if({c})', 'count(*)')} AS yield_percent FROM eav {group}"
+        for k, c in checks.items()
+    )
+    dims = {
+        "test": "label_text", "wafer": own["wafer"], "site": own["site"], "hard_bin": own["hard"], "soft_bin": own["soft"],
+        "test_site": f"concat(label_text, ' @ ', {own['site']})", "test_hard_bin": f"concat(label_text, ' @ ', {own['hard']})",
+    }
+    common = " UNION ALL ".join(f"SELECT {by} '{k}' AS dimension, {v} AS label FROM eav WHERE failed" for k, v in dims.items())
+    same = f"AND x.{col} = y.{col}" if by else ""
+    return {
+        "a1_kpis": f"""WITH {EAV_CTE}, {parts}, p AS (
+                SELECT {by} count(*) AS parts, count_if(passed) AS passed_parts, count(DISTINCT (f.head_num, f.site_num)) AS sites FROM parts {group}
+            ), r AS (
+                SELECT {by} count(*) AS rows, count(DISTINCT test_num) AS tests, count(DISTINCT lot_id) AS lots, count(DISTINCT wafer_id) AS wafers,
+                       count(DISTINCT CASE WHEN NOT test_pass THEN test_num END) AS failing_tests {"" if by else ""}
+                FROM eav {group}
+            )
+            SELECT {f"r.{col}," if by else ""} rows, parts, passed_parts, parts - passed_parts AS failed_parts,
+                   {_PERCENT.format("passed_parts", "parts")} AS yield_percent, tests, lots, wafers, sites, failing_tests
+            FROM r, p {f"WHERE r.{col} = p.{col}" if by else ""}""",
+        "a3_pareto": f"""WITH {EAV_CTE}, {stats} SELECT {by} label, test_num, test_type, units, total, pass, fail, unknown, limit_fail, {rounded},
+            {_PERCENT.format("pass", "(pass + fail)")} AS yield_percent FROM stats {top(pareto, A.TOP)}""",
+        "a4_wafer_yield": yields(first["wafer"]),
+        "a5_site_yield": yields(first["site"]),
+        "a6_hard_bins": yields(first["hard"]),
+        "a7_soft_bins": yields(first["soft"]),
+        "a8_commonality": f"""WITH {EAV_CTE}, c AS (SELECT {by} dimension, label, count(*) AS count FROM ({common}) GROUP BY ALL)
+            SELECT * FROM c {top("count DESC, dimension, label", A.TOP)}""",
+        "a9_correlations": f"""WITH {EAV_CTE}, {stats}, chosen AS (
+                SELECT {by} test_num, label, row_number() OVER ({over} ORDER BY {pareto}) AS rank FROM stats WHERE mean IS NOT NULL AND sigma > 0
+                {top(pareto, A.MAX_TESTS)}
+            ), v AS (
+                SELECT {f"e.{col}," if by else ""} part_key, rank, label, arg_min(number, obs_ord) AS v
+                FROM eav e JOIN chosen c ON c.test_num = e.test_num {f"AND c.{col} = e.{col}" if by else ""} WHERE number IS NOT NULL GROUP BY ALL
+            ), s AS (
+                SELECT {f"x.{col}," if by else ""} x.rank AS i, y.rank AS j, min(x.label) AS x, min(y.label) AS y, count(*) AS pairs, sum(x.v) AS sx, sum(y.v) AS sy,
+                       sum(x.v * x.v) AS sxx, sum(y.v * y.v) AS syy, sum(x.v * y.v) AS sxy
+                FROM v x JOIN v y ON x.part_key = y.part_key AND x.rank < y.rank {same} GROUP BY {f"x.{col}," if by else ""} x.rank, y.rank
+            ), c AS (
+                SELECT *, (pairs * sxx - sx * sx) * (pairs * syy - sy * sy) AS var FROM s WHERE pairs >= 3
+            ), d AS (
+                SELECT *, round((pairs * sxy - sx * sy) / sqrt(var), 6) AS correlation FROM c WHERE var > 0
+            ) SELECT {by} x, y, correlation, pairs FROM d {top("abs(correlation) DESC, pairs DESC, i, j", A.TOP_PAIRS)}""",
+        "a10_xy_map": f"""WITH {EAV_CTE} SELECT {by} x_coord AS x, y_coord AS y, count(*) AS total, count_if(failed) AS fail,
+            {_PERCENT.format("count_if(NOT failed)", "count(*)")} AS yield_percent
+            FROM eav WHERE x_coord IS NOT NULL AND y_coord IS NOT NULL GROUP BY ALL""",
+        "a11_process_windows": f"""WITH {EAV_CTE}, {stats}, w AS (
+                SELECT *, round(CASE WHEN lo_limit IS NOT NULL AND hi_limit IS NOT NULL AND sigma > 0
+                                     THEN least(hi_limit - mean, mean - lo_limit) / (3 * sigma) END, 6) AS cp
+                FROM stats WHERE mean IS NOT NULL AND sigma IS NOT NULL
+            ) SELECT {by} label, {rounded}, limit_fail, cp FROM w {top("limit_fail DESC, cp ASC NULLS LAST, label, test_num", A.TOP)}""",
+        "a12_data_quality": f"WITH {EAV_CTE} {quality}",
+    }
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found = _dashboard("")
+    found |= {f"a13_{n.split('_', 1)[1]}_by_lot": sql for n, sql in _dashboard("lot_id,").items()}
+    found["a2_part_rollup"] = f"""WITH {EAV_CTE} SELECT part_key, bool_and(part_pass) AS passed, arg_min_null(wafer_id, obs_ord) AS wafer_id,
+        arg_min(head_num, obs_ord) AS head_num, arg_min(site_num, obs_ord) AS site_num, arg_min(hard_bin, obs_ord) AS hard_bin,
+        arg_min(soft_bin, obs_ord) AS soft_bin FROM eav GROUP BY part_key"""
+    found["i1_merge_keys"] = f"WITH {EAV_CTE} SELECT part_merge_key, part_key, count(*) AS n FROM eav GROUP BY ALL"
+    found["p1_row_predicates"] = f"""WITH {EAV_CTE} SELECT obs_ord, failed, limit_failed, coalesce(isfinite(result), false) AS finite,
+        label_text AS label, coalesce(wafer_id, '(no wafer)') AS wafer, concat('H', head_num, ' / S', site_num) AS site FROM eav"""
+    found["p14_row_filter"] = f"WITH {EAV_CTE} SELECT obs_ord, lot_id, wafer_id, label_text AS label FROM eav WHERE contains(lower(label_text), 'purchase')"
+    found["p16_lot_switch"] = found["a3_pareto"].replace("FROM eav GROUP BY  test_num", "FROM eav WHERE lot_id = 'LOT3' GROUP BY test_num")
+    return found
