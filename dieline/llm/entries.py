@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytelevel, lines, naming, near, packing, quality
+from . import bytelevel, lines, naming, near, packing, pages, quality, search
 from .scratch import Scratch
 
 
@@ -35,6 +35,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_dedup(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -82,6 +90,19 @@ ORACLE = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), flat AS (
+            SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM flat q JOIN flat c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scores
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
+    """,
     "op9_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(
@@ -121,6 +142,8 @@ def queries() -> dict:
         "op2_quality": op2_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_top_k": op5_top_k,
+        "op7_main_text": op7_main_text,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_near_dedup": op9_near_dedup,
     }
