@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytelevel, lines, naming, near, packing, pages, quality, search
+from . import bytelevel, licences, lines, naming, near, packing, pages, quality, scoring, search
 from .scratch import Scratch
 
 
@@ -47,6 +47,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document's is its source, language and id."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licences.licence_scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.lm_score(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(_table(spark, sf_dir, "documents"), Scratch(spark), shingle=2)
 
@@ -145,6 +156,8 @@ def queries() -> dict:
         "op5_top_k": op5_top_k,
         "op7_main_text": op7_main_text,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_licences": op8_licences,
+        "op10_lm_score": op10_lm_score,
         "op9_near_dedup": op9_near_dedup,
     }
 
