@@ -51,7 +51,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no paths: a document's is its source, language and id."""
     docs = _table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return licences.licence_scan(docs.select("doc_id", "text", path.alias("path")))
+    return licences.licence_scan(docs.select("doc_id", "text", path.alias("path")), Scratch(spark))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 #: Names of licences and the statements that announce them.
@@ -93,6 +95,20 @@ def _passages(text: str) -> Iterator[str]:
             yield from parts
 
 
+def _frequencies(vocabulary: set[str]):
+    """The number of texts with each of these words, and under the empty word that of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        counts: Counter = Counter()
+        for b in batches:
+            for text in b.column(0):
+                counts.update(vocabulary.intersection(words(text.as_py() or "")))
+            counts[""] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return run
+
+
 def _scan(state, least: float):
     def run(batches: Iterator[pa.RecordBatch]):
         idf, rare, names, index, keys = state.value
@@ -101,8 +117,9 @@ def _scan(state, least: float):
                 licence, score = [], []
                 for text in b.column(1).slice(k, 512):
                     best: tuple[str | None, float] = (None, 0.0)
-                    for part in _passages(text.as_py() or ""):
-                        if keys.search(part):
+                    whole = text.as_py() or ""
+                    for part in () if keys.isdisjoint(words(whole)) else _passages(whole):
+                        if not keys.isdisjoint(words(part)):
                             found = best_match(part, idf, rare, names, index)
                             if found[1] > best[1]:
                                 best = found
@@ -116,6 +133,7 @@ def _scan(state, least: float):
 
 def licence_scan(
     docs: DataFrame,
+    scratch: Scratch,
     id_col: str = "doc_id",
     text_col: str = "text",
     path_col: str = "path",
@@ -142,11 +160,10 @@ def licence_scan(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path")
     )
     vocabulary = sorted({w for v in templates.values() for t in v for w in words(t)})
-    # one counter for each of the templates' words, in one pass over the texts
-    low = F.lower("text")
-    has = [F.count_if(low.contains(w)).alias(f"w{i}") for i, w in enumerate(vocabulary)]
-    n, *df = plain.agg(F.count("*"), *has).first()
-    idf = {w: math.log((n + 1) / (d + 1)) + 1 for w, d in zip(vocabulary, df, strict=True)}
+    seen = plain.select("text").mapInArrow(_frequencies(set(vocabulary)), "word string, n bigint")
+    df = dict(seen.groupBy("word").agg(F.sum("n")).collect())  # a row for each of the templates' words
+    n = df.pop("", 0)
+    idf = {w: math.log((n + 1) / (d + 1)) + 1 for w in vocabulary for d in [df.get(w, 0)]}
     rare = math.log(n + 1) + 1
     names, index = _tables(idf, rare, templates)
     # words without which a statement cannot be matched to the threshold
@@ -159,9 +176,9 @@ def licence_scan(
             if left >= least**2 * norm:  # the words up to here, without this one, stay below it
                 needed.update(x for x in v if (v[x], x) >= (v[w], w))
                 break
-    keys = re.compile("|".join(map(re.escape, sorted(needed))) or r"\b\B", re.I)
-    state = spark.sparkContext.broadcast((idf, rare, names, index, keys))
+    state = spark.sparkContext.broadcast((idf, rare, names, index, needed))
     found = plain.mapInArrow(_scan(state, least), "doc_id bigint, own string, similarity double, path string")
+    found = scratch.save(found, "found")
     found = found.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
 
     files = found.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILES) & F.col("own").isNotNull())

@@ -14,8 +14,8 @@ from .scratch import Scratch
 
 #: Kinds of tokens by hash (the inputs), classes of kinds (the outputs), and hash slots of single words.
 KINDS, CLASSES, SLOTS = 2048, 128, 1 << 16
-#: Tokens on either side, hidden units, tokens in a step.
-SIDE, UNITS, STEP = 2, 16, 4096
+#: Tokens on either side, hidden units, tokens that pass the network at once, tokens in a step of training.
+SIDE, UNITS, STEP, BATCH = 2, 16, 4096, 256
 
 
 def token_hashes(text: str | None, cache: Words) -> np.ndarray:
@@ -24,12 +24,12 @@ def token_hashes(text: str | None, cache: Words) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def windows(h: np.ndarray) -> np.ndarray:
-    """The kinds of the 2 * SIDE neighbours of each token; kind 0 stands outside the text."""
+def windows(h: np.ndarray, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The kinds of the 2 * SIDE neighbours of each picked token; kind 0 stands outside the text."""
     kinds = np.zeros(len(h) + 2 * SIDE, np.int64)
     kinds[SIDE : SIDE + len(h)] = 1 + h % np.uint64(KINDS - 1)
     spots = [k for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([kinds[k : k + len(h)] for k in spots], 1) + np.arange(2 * SIDE) * KINDS
+    return np.stack([kinds[k : k + len(h)][pick] for k in spots], 1) + np.arange(2 * SIDE) * KINDS
 
 
 def start_weights(seed: int = 1) -> list[np.ndarray]:
@@ -85,8 +85,9 @@ def _slots(h: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]):
     cache, counts = Words(), np.zeros(SLOTS, np.int64)
     for b in batches:
-        for text in b.column(0):
-            counts += np.bincount(_slots(token_hashes(text.as_py(), cache)), minlength=SLOTS)
+        for k in range(0, b.num_rows, 512):
+            h = [token_hashes(x.as_py(), cache) for x in b.column(0).slice(k, 512)]
+            counts += np.bincount(_slots(np.concatenate(h)), minlength=SLOTS)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
@@ -99,8 +100,8 @@ def _train(state, stride: int, rate: float):
 
         def step() -> None:
             a, t = np.concatenate(around), np.concatenate(target)
-            for k in range(0, len(t), STEP):
-                train_step(w, a[k : k + STEP], t[k : k + STEP], rate)
+            for k in range(0, len(t), BATCH):
+                train_step(w, a[k : k + BATCH], t[k : k + BATCH], rate)
             around.clear(), target.clear()
 
         for b in batches:
@@ -108,7 +109,7 @@ def _train(state, stride: int, rate: float):
                 h = token_hashes(text.as_py(), cache)
                 # which tokens train depends on their neighbours alone, not on where the text lies
                 pick = np.flatnonzero(mix(h + np.roll(h, 1)) % np.uint64(stride) == 0)
-                around.append(windows(h)[pick])
+                around.append(windows(h, pick))
                 target.append(classes[_slots(h[pick])])
                 waiting, tokens = waiting + len(pick), tokens + len(pick)
                 if waiting >= 16 * STEP:
@@ -171,7 +172,7 @@ def lm_score(
     text_col: str = "text",
     rounds: int = 2,
     stride: int = 8,
-    rate: float = 0.5,
+    rate: float = 1.0,
 ) -> DataFrame:
     """Score documents by masked pseudo-likelihood under a network trained on all of them.
 
