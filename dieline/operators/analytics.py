@@ -6,7 +6,7 @@ Each function takes rows of the EAV schema with the columns part_key (the scoped
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -78,22 +78,22 @@ def labelled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label_text", E.test_label(F.col("test_num"), F.col("test_txt")))
 
 
-_PARETO = [F.desc("fail"), F.desc("limit_fail"), F.desc("total"), F.asc("label"), F.asc("test_num")]
+def _pareto_order() -> list[Column]:
+    """O1, with the test number as the last tie-break."""
+    return [F.desc("fail"), F.desc("limit_fail"), F.desc("total"), F.asc("label"), F.asc("test_num")]
 
 
 def _top(df: DataFrame, order: list, n: int, by: tuple) -> DataFrame:
     """The first n rows, of each group if there are any. A group's limit is applied before the shuffle, too."""
     if not by:
         return df.orderBy(*order).limit(n)
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn("at", at).filter(F.col("at") <= n).drop("at")
 
 
 def pareto(rows: DataFrame, by: tuple = ()) -> DataFrame:
     """A3 in the order O1."""
-    out = _top(test_stats(labelled(rows), by), _PARETO, TOP, by)
+    out = _top(test_stats(labelled(rows), by), _pareto_order(), TOP, by)
     rounded = [F.round(c, 6).alias(c) for c in ("mean", "sigma", "min", "max", "lo_limit", "hi_limit", "yield_percent")]
     return out.select(*by, "label", "test_num", "test_type", "units", "total", "pass", "fail", "unknown", "limit_fail", *rounded)
 
@@ -107,12 +107,6 @@ def yields(parts: DataFrame, label: Column, by: tuple = ()) -> DataFrame:
     )
 
 
-LABELS = {
-    "wafer": E.wafer_label,
-    "site": E.site_label,
-}
-
-
 def wafer_yield(rows: DataFrame, by: tuple = ()) -> DataFrame:
     return yields(part_rollup(rows, by), E.wafer_label(F.col("wafer_id")), by)
 
@@ -159,10 +153,8 @@ def correlations(rows: DataFrame, max_tests: int = MAX_TESTS, by: tuple = ()) ->
     values are pivoted by part once instead of joined with themselves.
     """
     stats = test_stats(labelled(rows), by).filter("mean IS NOT NULL AND sigma > 0")
-    chosen = _top(stats, _PARETO, max(max_tests, 2), by)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*_PARETO)
+    chosen = _top(stats, _pareto_order(), max(max_tests, 2), by)
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*_pareto_order())
     chosen = chosen.withColumn("rank", F.row_number().over(order)).select(*by, "test_num", "label", "rank")
     value = F.struct("obs_ord", F.col("result").cast("double").alias("v"))
     first = rows.filter(E.finite(F.col("result"))).join(F.broadcast(chosen) if not by else chosen, [*by, "test_num"])
