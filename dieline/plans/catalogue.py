@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import analytics as A
-from .projection import EAV_CTE, eav
+from ..operators import tracing as T
+from ..operators import validation as V
+from ..sources.stdf import distinct_contents
+from .projection import ATTEMPT_SQL, EAV_CTE, STREAM_SQL, duck, eav, project, table
 
 _TABLES = {
     "a1_kpis": A.kpis,
@@ -59,10 +62,41 @@ def p16_lot_switch(spark, sf_dir):
     return A.pareto(eav(spark, sf_dir).filter(F.col("lot_id") == "LOT3"))
 
 
+def _over_stream(rule, spark, sf_dir):
+    return rule(project(spark, sf_dir, STREAM_SQL))
+
+
+_RULES = {
+    "v1_pir_prr_pairs": V.pir_prr_pairs,
+    "v4_mir_singleton": V.mir_singleton,
+    "v5_no_mrr": V.no_mrr,
+    "v9_test_names": V.test_names,
+    "x1_attempts": V.attempts,
+}
+
+
+def r2_cells(spark, sf_dir):
+    return T.cells(project(spark, sf_dir, ATTEMPT_SQL))
+
+
+def r4_matrix(spark, sf_dir):
+    flow = spark.createDataFrame([("A", 0, True, True), ("B", 1, True, False), ("C", 2, True, False), ("O", 3, False, False)], "step string, position int, required boolean, stop_on_fail boolean")
+    attempts = project(spark, sf_dir, ATTEMPT_SQL)
+    return T.matrix(T.cells(attempts), flow, attempts.filter("device % 2 = 0"))
+
+
+def s9_distinct_contents(spark, sf_dir):
+    """Documents stand for files, their ids for paths."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").cast("binary").alias("content"))
+    return distinct_contents(files).select("sha256", "copies", F.col("paths")[0].alias("first_path"))
+
+
 def queries() -> dict:
     found = {name: partial(_over_eav, operator) for name, operator in _TABLES.items()}
     found |= {f"a13_{n.split('_', 1)[1]}_by_lot": partial(_over_eav, f, by=("lot_id",)) for n, f in _TABLES.items()}
-    own = (a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
+    found |= {name: partial(_over_stream, rule) for name, rule in _RULES.items()}
+    own = (r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
     return found | {f.__name__: f for f in own}
 
 
@@ -188,4 +222,62 @@ def oracle_sql() -> dict[str, str]:
         label_text AS label, coalesce(wafer_id, '(no wafer)') AS wafer, concat('H', head_num, ' / S', site_num) AS site FROM eav"""
     found["p14_row_filter"] = f"WITH {EAV_CTE} SELECT obs_ord, lot_id, wafer_id, label_text AS label FROM eav WHERE contains(lower(label_text), 'purchase')"
     found["p16_lot_switch"] = found["a3_pareto"].replace("FROM eav GROUP BY  test_num", "FROM eav WHERE lot_id = 'LOT3' GROUP BY test_num")
+    found |= _STREAMS
     return found
+
+
+_S = f"WITH s AS ({duck(STREAM_SQL)})"
+_STREAMS = {
+    "v1_pir_prr_pairs": _S + """, p AS (
+            SELECT *, lag(mnemonic) OVER w AS b, lead(mnemonic) OVER w AS a, concat('H', head_num, ' S', site_num) AS place
+            FROM s WHERE mnemonic IN ('PIR', 'PRR') WINDOW w AS (PARTITION BY source_id, head_num, site_num ORDER BY "offset")
+        ), m AS (
+            SELECT source_id, "offset", CASE WHEN mnemonic = 'PIR' AND b = 'PIR' THEN concat('PIR while open at ', place)
+                   WHEN mnemonic = 'PRR' AND coalesce(b, 'PRR') = 'PRR' THEN concat('PRR without PIR at ', place) END AS message FROM p
+            UNION ALL SELECT source_id, "offset", concat('PIR open at end of file at ', place) FROM p WHERE mnemonic = 'PIR' AND a IS NULL
+        ) SELECT source_id, 'error' AS severity, 'STRUCT/PIR_PRR_PAIR' AS rule, "offset", message FROM m WHERE message IS NOT NULL""",
+    "v4_mir_singleton": _S + """, m AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "offset") AS n FROM s WHERE mnemonic = 'MIR')
+        SELECT source_id, 'error' AS severity, 'STRUCT/MIR_SINGLETON' AS rule, "offset", concat('MIR number ', n) AS message FROM m WHERE n > 1""",
+    "v5_no_mrr": _S + """ SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, max("offset") AS "offset", 'no MRR' AS message
+        FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0""",
+    "v9_test_names": _S + """, t AS (SELECT *, first_value(test_txt) OVER (PARTITION BY source_id, test_num ORDER BY "offset") AS f FROM s WHERE mnemonic = 'PTR')
+        SELECT source_id, 'warning' AS severity, 'SEMANTIC/TEST_NAME_CONSISTENCY' AS rule, "offset",
+               concat('test ', test_num, ' was ', f, ', is ', test_txt) AS message FROM t WHERE test_txt <> f""",
+    "x1_attempts": _S + """, o AS (
+            SELECT *, mnemonic = 'PIR' OR coalesce(lag(mnemonic) OVER w, 'PRR') = 'PRR' AS opens FROM s WHERE mnemonic IN ('PIR', 'PTR', 'PRR')
+            WINDOW w AS (PARTITION BY source_id, head_num, site_num ORDER BY "offset")
+        ), n AS (
+            SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY source_id, head_num, site_num ORDER BY "offset") AS attempt,
+                   sum(CAST(opens AS INT)) OVER (PARTITION BY source_id ORDER BY "offset") AS started FROM o
+        ), a AS (
+            SELECT source_id, head_num, site_num, attempt, min(started) FILTER (WHERE opens) AS part_sequence,
+                   min("offset") FILTER (WHERE mnemonic = 'PRR') AS prr_offset FROM n GROUP BY ALL
+        ) SELECT n.source_id, n.head_num, n.site_num, n."offset", a.prr_offset, CAST(a.part_sequence AS INT) AS part_sequence
+        FROM n JOIN a USING (source_id, head_num, site_num, attempt) WHERE n.mnemonic = 'PTR' AND a.prr_offset IS NOT NULL""",
+    "s9_distinct_contents": """SELECT sha256(text) AS sha256, count(*) AS copies, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS first_path
+        FROM documents GROUP BY sha256(text)""",
+}
+_CELLS = f"""WITH t AS ({duck(ATTEMPT_SQL)}), g AS (
+        SELECT device, step, count(*) AS tests, count(DISTINCT passed) > 1 AS verdict_changed, count(DISTINCT hard_bin) > 1 AS hard_bin_changed,
+               count(DISTINCT soft_bin) > 1 AS soft_bin_changed, bool_or(passed IS NULL OR hard_bin IS NULL OR soft_bin IS NULL) AS incomplete,
+               max(struct_pack(o := obs_ord, p := passed)).p AS latest_passed
+        FROM t WHERE step IS NOT NULL GROUP BY device, step
+    ), c AS (
+        SELECT *, tests - 1 AS retests, CASE WHEN verdict_changed OR hard_bin_changed OR soft_bin_changed THEN 'retest_different'
+               WHEN incomplete THEN 'indeterminate' WHEN tests > 1 THEN 'retest_consistent' ELSE 'tested' END AS status FROM g
+    )"""
+_STREAMS |= {
+    "r2_cells": f"{_CELLS} SELECT * FROM c",
+    "r4_matrix": f"""{_CELLS}, flow AS (
+            SELECT * FROM (VALUES ('A', 0, true, true), ('B', 1, true, false), ('C', 2, true, false), ('O', 3, false, false)) f(step, position, required, stop)
+        ), d AS (
+            SELECT v.device, v.device % 2 = 0 AS closed, f.*, c.tests, c.status, c.incomplete, c.latest_passed
+            FROM (SELECT DISTINCT device FROM c) v CROSS JOIN flow f LEFT JOIN c ON c.device = v.device AND c.step = f.step
+        ), e AS (
+            SELECT *, max(CASE WHEN tests IS NOT NULL THEN position END) OVER (PARTITION BY device) AS last,
+                   bool_or(stop AND tests IS NOT NULL AND NOT incomplete AND latest_passed = false) OVER earlier AS stopped,
+                   bool_or(stop AND tests IS NOT NULL AND (incomplete OR latest_passed IS NULL)) OVER earlier AS doubted
+            FROM d WINDOW earlier AS (PARTITION BY device ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ) SELECT device, step, CASE WHEN tests IS NOT NULL THEN status WHEN NOT required THEN 'not_applicable' WHEN coalesce(stopped, false) THEN 'not_applicable'
+               WHEN coalesce(doubted, false) THEN 'indeterminate' WHEN closed OR position < last THEN 'missing' ELSE 'pending' END AS status FROM e""",
+}

@@ -63,3 +63,30 @@ EAV_CTE = f"""
         FROM keyed
     )
 """
+
+
+#: Events as a record stream: users are sites, and three sources share them.
+STREAM_SQL = """
+    SELECT concat('f', cast(user_id % 3 AS string)) AS source_id, event_id AS offset, 1 AS head_num, cast(user_id % 7 AS int) AS site_num,
+           CASE event_type WHEN 'click' THEN 'PIR' WHEN 'signup' THEN 'PRR' WHEN 'error' THEN 'MIR' ELSE 'PTR' END AS mnemonic,
+           CASE event_type WHEN 'view' THEN 1 ELSE 2 END AS test_num, CASE WHEN event_id % 41 = 0 THEN 'odd' ELSE event_type END AS test_txt
+    FROM events
+"""
+
+#: Events as test attempts of devices.
+ATTEMPT_SQL = """
+    SELECT user_id AS device, event_id AS obs_ord,
+           CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B' WHEN 'purchase' THEN 'C' WHEN 'signup' THEN 'O' END AS step,
+           CASE WHEN event_id % 97 = 0 THEN NULL ELSE value <= 100 END AS passed,
+           CASE WHEN event_id % 89 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 1 ELSE event_id % 2 END AS hard_bin,
+           1 AS soft_bin
+    FROM events WHERE user_id % 3 <> 0 OR event_id % 50 = 0
+"""
+
+
+def project(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+def duck(sql: str) -> str:
+    return sql.replace("AS string)", "AS varchar)")
