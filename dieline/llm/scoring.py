@@ -40,12 +40,28 @@ def start_weights(seed: int = 1) -> list[np.ndarray]:
 
 def forward(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hidden units and log-probabilities of the classes of tokens with these neighbours."""
-    hidden = np.tanh(w[0][around].sum(1) + w[1])
-    out = hidden @ w[2] + w[3]
-    out -= out.max(1, keepdims=True)
+    hidden, out = _logits(w, around)
     return hidden, out - np.log(np.exp(out).sum(1, keepdims=True))
 
 
+def _logits(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hidden = w[0][around[:, 0]] + w[1]
+    for k in range(1, around.shape[1]):
+        hidden += w[0][around[:, k]]
+    np.tanh(hidden, out=hidden)
+    out = hidden @ w[2]
+    out += w[3]
+    out -= out.max(1, keepdims=True)
+    return hidden, out
+
+
+def target_log_probabilities(w: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of each token's class, without those of the other classes."""
+    _, out = _logits(w, around)
+    own = out[np.arange(len(target)), target]
+    return own - np.log(np.exp(out, out=out).sum(1))
+
+
 def train_step(w: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> float:
     """A step of gradient descent on the mean cross-entropy; returns that."""
     hidden, logp = forward(w, around)
@@ -135,8 +151,8 @@ def document_score(h: np.ndarray, w: list[np.ndarray], classes: np.ndarray, with
     slots, around = _slots(h), windows(h)
     for k in range(0, len(h), STEP):
         part = slots[k : k + STEP]
-        _, logp = forward(w, around[k : k + STEP])
-        total += float(logp[np.arange(len(part)), classes[part]].sum(dtype=np.float64) + within[part].sum())
+        logp = target_log_probabilities(w, around[k : k + STEP], classes[part])
+        total += float(logp.sum(dtype=np.float64) + within[part].sum())
     return total
 
 
@@ -154,8 +170,7 @@ def _score(state):
                 each = np.empty(len(slots))
                 for i in range(0, len(slots), STEP):
                     part = slots[i : i + STEP]
-                    _, logp = forward(w, around[i : i + STEP])
-                    each[i : i + STEP] = logp[np.arange(len(part)), classes[part]] + within[part]
+                    each[i : i + STEP] = target_log_probabilities(w, around[i : i + STEP], classes[part]) + within[part]
                 ends = np.cumsum([0, *sizes])
                 sums = [float(each[a:z].sum()) for a, z in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
