@@ -69,7 +69,7 @@ ORACLE = {
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
             FROM documents
         ), sets AS (
-            SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split(line, ' '), lambda x: x <> ''))) AS s
+            SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s
             FROM lines
         ), classes AS (
             SELECT row_number() OVER (ORDER BY f.doc_id, f.pos) AS cid, s, len(s) AS n, f.doc_id AS first_doc, f.pos AS first_pos

@@ -134,7 +134,7 @@ def near_dedup(
     Equal sets form a class first. Each class gets two groups of `collections` half keys of `rows`
     MinHash values each; a table key combines one half key of either group, so collections ** 2 tables
     of 2 * rows values cost 2 * collections * rows values. At similarity 0.8 a pair shares no table with
-    probability 9e-5 (14 collections of 3 rows), at 0.9 with probability 1e-8. Half keys that only one
+    probability 9e-5 (14 collections of 3 rows), at 0.9 with probability 2e-8. Half keys that only one
     class has are left out before they are combined.
 
     In a table's bucket every class is verified against the bucket's smallest class, the pivot. A
