@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import limits_valid
+
 
 def _found(df: DataFrame, severity: str, rule: str, message: Column) -> DataFrame:
     return df.select("source_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "offset", message.alias("message"))
@@ -69,6 +71,57 @@ def no_mrr(stream: DataFrame) -> DataFrame:
     return _found(ends.filter("n = 0"), "warning", "ABORT/NO_MRR", F.lit("no MRR"))
 
 
+def _floored(stream: DataFrame, begin: str, end: str) -> DataFrame:
+    """The number of begins still open at the end of each file, where ends at 0 count for nothing, as left."""
+    order = Window.partitionBy("source_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stream.filter(F.col("mnemonic").isin(begin, end))
+    rows = rows.withColumn("sum", F.sum(F.when(F.col("mnemonic") == begin, 1).otherwise(-1)).over(order))
+    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
+    return rows.groupBy("source_id").agg(F.max_by("depth", "offset").alias("left"))
+
+
+def aborted(stream: DataFrame) -> DataFrame:
+    """V5: what the end of each file leaves open: no MRR, open WIRs (the file's last offset), PIRs, and BPS sections."""
+    last = stream.groupBy("source_id").agg(F.max("offset").alias("offset"))
+    wafers = _floored(stream, "WIR", "WRR").filter("left > 0").join(last, "source_id")
+    wafers = _found(wafers, "error", "ABORT/OPEN_WIR", F.concat(F.col("left").cast("string"), F.lit(" WIR open at end of file")))
+    kind = F.col("mnemonic")
+    parts = stream.filter(kind.isin("PIR", "PRR")).groupBy("source_id", "head_num", "site_num")
+    # a later PIR replaces an open one, so the last record of a position decides
+    parts = parts.agg(F.max_by("mnemonic", "offset").alias("end"), F.max("offset").alias("offset")).filter("end = 'PIR'")
+    place = F.concat(F.lit("PIR open at end of file at H"), F.col("head_num").cast("string"), F.lit(" S"), F.col("site_num").cast("string"))
+    parts = _found(parts, "error", "ABORT/OPEN_PIR", place)
+    sections = _floored(stream, "BPS", "EPS").filter("left > 0").withColumn("offset", F.lit(None).cast("bigint"))
+    sections = _found(sections, "warning", "ABORT/OPEN_BPS", F.concat(F.col("left").cast("string"), F.lit(" BPS open at end of file")))
+    return no_mrr(stream).unionByName(wafers).unionByName(parts).unionByName(sections)
+
+
+def limit_order(tests: DataFrame) -> DataFrame:
+    """V6: PTRs (source_id, offset, test_num, opt_flag, lo_limit, hi_limit) with both limits valid and the low one above."""
+    low, high = limits_valid(F.col("opt_flag"))
+    odd = tests.filter(low & high & (F.col("lo_limit") > F.col("hi_limit")))
+    return _found(odd, "error", "FIELD/PTR_LIMIT_ORDER", F.concat(F.lit("low limit above the high one of test "), F.col("test_num").cast("string")))
+
+
+def bin_counts(summaries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Bins whose HBR count isn't the number of PRRs.
+
+    summaries: source_id, head_num, site_num, hard_bin, count (HBRs; those of a position add up); parts:
+    source_id, hard_bin (PRRs). Counts of single sites add up; totals (head or site 255) count, the largest, only where a bin has none of those.
+    """
+    each = summaries.groupBy("source_id", "head_num", "site_num", "hard_bin").agg(F.sum("count").alias("count"))
+    total = (F.col("head_num") == 255) | (F.col("site_num") == 255)
+    said = each.groupBy("source_id", "hard_bin").agg(
+        F.coalesce(F.sum(F.when(~total, F.col("count"))), F.max(F.when(total, F.col("count")))).cast("bigint").alias("said")
+    )
+    met = parts.groupBy("source_id", "hard_bin").agg(F.count("*").alias("met"))
+    both = said.join(met, ["source_id", "hard_bin"], "full_outer").filter(F.col("said").isNull() | (F.col("said") != F.coalesce("met", F.lit(0))))
+    bin_ = F.concat(F.lit("bin "), F.col("hard_bin").cast("string"))
+    seen = F.concat(F.lit(": PRR "), F.coalesce("met", F.lit(0)).cast("string"))
+    message = F.when(F.col("said").isNull(), F.concat(bin_, F.lit(": no HBR"), seen)).otherwise(F.concat(bin_, F.lit(": HBR "), F.col("said").cast("string"), seen))
+    return _found(both.withColumn("offset", F.lit(None).cast("bigint")), "warning", "SEMANTIC/HBR_BIN_COUNT", message)
+
+
 def test_names(stream: DataFrame) -> DataFrame:
     """V9: the first name of each test is looked up by a join on its smallest offset, not by a window."""
     tests = stream.filter(F.col("mnemonic") == "PTR").select("source_id", "offset", "test_num", F.coalesce("test_txt", F.lit("")).alias("name"))

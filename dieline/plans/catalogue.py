@@ -70,11 +70,28 @@ _RULES = {
     "v1_pir_prr_pairs": V.pir_prr_pairs,
     "v4_mir_singleton": V.mir_singleton,
     "v5_no_mrr": V.no_mrr,
+    "v5_aborted": V.aborted,
     "v9_test_names": V.test_names,
     "x1_attempts": V.attempts,
 }
 
 
+#: Events as PTRs with limits, and as HBRs and PRRs.
+_LIMITS_SQL = """SELECT concat('f', cast(user_id % 3 AS string)) AS source_id, event_id AS offset, user_id % 5 AS test_num,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 16 ELSE 0 END AS opt_flag, value AS lo_limit, 50.0 AS hi_limit FROM events"""
+_BINS_SQL = """SELECT concat('f', cast(user_id % 3 AS string)) AS source_id, event_type, event_id AS offset, event_id % 19 AS hard_bin, event_id % 7 AS count,
+    1 AS head_num, CASE WHEN event_id % 2 = 0 THEN 255 ELSE user_id % 4 END AS site_num FROM events"""
+
+
+def v6_limit_order(spark, sf_dir):
+    return V.limit_order(project(spark, sf_dir, _LIMITS_SQL))
+
+
+def v10_bin_counts(spark, sf_dir):
+    rows = project(spark, sf_dir, _BINS_SQL)
+    return V.bin_counts(rows.filter("event_type = 'purchase' AND hard_bin < 15"), rows.filter("event_type = 'signup' AND hard_bin > 2"))
+
+
 def r2_cells(spark, sf_dir):
     return T.cells(project(spark, sf_dir, ATTEMPT_SQL))
 
@@ -96,7 +113,7 @@ def queries() -> dict:
     found = {name: partial(_over_eav, operator) for name, operator in _TABLES.items()}
     found |= {f"a13_{n.split('_', 1)[1]}_by_lot": partial(_over_eav, f, by=("lot_id",)) for n, f in _TABLES.items()}
     found |= {name: partial(_over_stream, rule) for name, rule in _RULES.items()}
-    own = (r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
+    own = (v6_limit_order, v10_bin_counts, r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
     return found | {f.__name__: f for f in own}
 
 
@@ -240,6 +257,23 @@ _STREAMS = {
         SELECT source_id, 'error' AS severity, 'STRUCT/MIR_SINGLETON' AS rule, "offset", concat('MIR number ', n) AS message FROM m WHERE n > 1""",
     "v5_no_mrr": _S + """ SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, max("offset") AS "offset", 'no MRR' AS message
         FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0""",
+    "v5_aborted": _S + """, o AS (
+            SELECT source_id, head_num, site_num, max("offset") AS "offset" FROM s WHERE mnemonic IN ('PIR', 'PRR') GROUP BY ALL HAVING max_by(mnemonic, "offset") = 'PIR'
+        ) SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, max("offset") AS "offset", 'no MRR' AS message
+        FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0
+        UNION ALL SELECT source_id, 'error', 'ABORT/OPEN_PIR', "offset", concat('PIR open at end of file at H', head_num, ' S', site_num) FROM o""",
+    "v6_limit_order": f"""SELECT source_id, 'error' AS severity, 'FIELD/PTR_LIMIT_ORDER' AS rule, "offset",
+            concat('low limit above the high one of test ', test_num) AS message
+        FROM ({duck(_LIMITS_SQL).replace("AS offset", 'AS "offset"')}) WHERE opt_flag & 80 = 0 AND opt_flag & 160 = 0 AND lo_limit > hi_limit""",
+    "v10_bin_counts": f"""WITH b AS ({duck(_BINS_SQL).replace("AS offset", 'AS "offset"')}), e AS (
+            SELECT source_id, head_num, site_num, hard_bin, sum("count") AS n FROM b WHERE event_type = 'purchase' AND hard_bin < 15 GROUP BY ALL
+        ), h AS (
+            SELECT source_id, hard_bin, CAST(coalesce(sum(n) FILTER (WHERE site_num <> 255), max(n)) AS BIGINT) AS said FROM e GROUP BY ALL
+        ), p AS (
+            SELECT source_id, hard_bin, count(*) AS met FROM b WHERE event_type = 'signup' AND hard_bin > 2 GROUP BY ALL
+        ) SELECT source_id, 'warning' AS severity, 'SEMANTIC/HBR_BIN_COUNT' AS rule, CAST(NULL AS BIGINT) AS "offset",
+            concat('bin ', hard_bin, ': ', CASE WHEN said IS NULL THEN 'no HBR' ELSE concat('HBR ', said) END, ': PRR ', coalesce(met, 0)) AS message
+        FROM h FULL JOIN p USING (source_id, hard_bin) WHERE said IS NULL OR said <> coalesce(met, 0)""",
     "v9_test_names": _S + """, t AS (SELECT *, first_value(test_txt) OVER (PARTITION BY source_id, test_num ORDER BY "offset") AS f FROM s WHERE mnemonic = 'PTR')
         SELECT source_id, 'warning' AS severity, 'SEMANTIC/TEST_NAME_CONSISTENCY' AS rule, "offset",
                concat('test ', test_num, ' was ', f, ', is ', test_txt) AS message FROM t WHERE test_txt <> f""",
