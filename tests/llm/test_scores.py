@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -119,3 +120,19 @@ def test_licences_and_inheritance(spark):
     assert out[3] == ("Apache-2.0", "own", "a/b/c/y.c") and out[5] == ("GPL-3.0", "inherited", "a/b/c/COPYING")
     assert out[6] == out[7] == out[8] == (None, None, None)
     assert licences.licence_scan(df.limit(0), Scratch(spark)).collect() == []
+
+
+def test_default_training_reads_every_token_and_learns(spark):
+    r = random.Random(12)
+    pairs = [(f"a{i}", f"b{i}") for i in range(20)]
+    docs = [(i, " ".join(w for _ in range(60) for w in r.choice(pairs))) for i in range(4000)]
+    mixed = docs[0][1].split()
+    r.shuffle(mixed)
+    df = spark.createDataFrame([*docs, (9000, " ".join(mixed)), (9001, None)], "doc_id bigint, text string")
+    default = {k: p.default for k, p in inspect.signature(scoring.lm_score).parameters.items()}
+    state = spark.sparkContext.broadcast((scoring.class_table(np.ones(scoring.SLOTS))[0], scoring.start_weights()))
+    run = scoring._train(state, default["stride"], default["rate"])
+    parts = df.select("text").mapInArrow(run, "at bigint, value double, tokens bigint")
+    assert sum(x.tokens for x in parts.filter("at = 0").collect()) == 4001 * 120
+    by = {x.doc_id: x.per_token for x in scoring.lm_score(df, Scratch(spark)).collect()}
+    assert np.mean([by[i] for i, _ in docs]) > by[9000] + 0.3
