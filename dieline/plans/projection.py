@@ -80,7 +80,7 @@ ATTEMPT_SQL = """
            CASE WHEN event_id % 97 = 0 THEN NULL ELSE value <= 100 END AS passed,
            CASE WHEN event_id % 89 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 1 ELSE event_id % 2 END AS hard_bin,
            1 AS soft_bin
-    FROM events WHERE user_id % 3 <> 0 OR event_id % 50 = 0
+    FROM events
 """
 
 

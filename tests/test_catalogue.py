@@ -39,3 +39,20 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.execute(catalogue.oracle_sql()[name]).df()
     assert sorted(found.columns) == sorted(want.columns)
     assert rows(found) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["r2_cells", "r4_matrix"])
+def test_every_event_is_an_attempt(spark, tmp_path, name):
+    """Devices with few attempts, by any id, and an event without a step."""
+    steps = [(1, 3, "click", 5.0), (2, 3, "signup", 5.0), (3, 6, "view", 500.0), (4, 6, "view", 5.0), (5, 5, "view", 5.0), (6, 9, "error", 5.0), (7, 12, "click", 500.0), (97, 15, "click", 5.0)]
+    spark.createDataFrame(steps, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = catalogue.queries()[name](spark, str(tmp_path)).toPandas()
+    assert set(found["device"]) == {3, 5, 6, 12, 15}
+    want = con.execute(catalogue.oracle_sql()[name]).df()
+    assert rows(found) == rows(want)
+    if name == "r2_cells":
+        assert found["tests"].sum() == 7
+    else:
+        assert set(found["status"]) >= {"missing", "pending", "indeterminate", "not_applicable", "tested"}
