@@ -30,10 +30,17 @@ TEMPLATES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"
+        " as published by the Free Software Foundation; version 2 of the License",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "BSD-3-Clause": [
@@ -49,6 +56,8 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
 }
+#: Statements that count only where no licence is found, as licence headers have them too.
+NOTICES = {"All-Rights-Reserved": ["All rights reserved."]}
 #: File names that hold the licence of their directory.
 LICENCE_FILES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-][^/]*)?$"
 
@@ -95,6 +104,50 @@ def _passages(text: str) -> Iterator[str]:
             yield from parts
 
 
+def _needed(v: dict[str, float], least: float) -> set[str]:
+    """Words of a normalised vector without all of which no passage reaches the threshold."""
+    left = 0.0
+    order = sorted(v, key=lambda w: (v[w], w))
+    for k, w in enumerate(order):
+        left += v[w] ** 2
+        if left >= least**2 - 1e-9:  # the words up to here, without this one, stay below it
+            return set(order[k:])
+    return set(order)
+
+
+def _statements(idf: dict[str, float], rare: float, templates: dict[str, list[str]], least: float) -> list[tuple]:
+    """Name, number of words, normalised vector and needed words of each statement."""
+    names, index = _tables(idf, rare, templates)
+    vectors: list[dict[str, float]] = [{} for _ in names]
+    for w, found in index.items():
+        for k, x in found:
+            vectors[k][w] = x
+    sizes = [len(words(t)) for v in templates.values() for t in v]
+    return [(name, n, v, _needed(v, least)) for name, n, v in zip(names, sizes, vectors, strict=True)]
+
+
+def best_window(seq: list[str], idf: dict[str, float], rare: float, statements: list[tuple], least: float) -> tuple[str | None, float]:
+    """The statement with the largest cosine to as many consecutive words, over the ends of lines and sentences."""
+    best: tuple[str | None, float] = (None, 0.0)
+    present = set(seq)
+    for name, size, vector, needed in statements:
+        # the cosine is at most the norm of the shared part
+        if sum(vector[w] ** 2 for w in vector.keys() & present) < least**2 - 1e-9:
+            continue
+        last, done = max(0, len(seq) - size), -1
+        for at in (i for i, w in enumerate(seq) if w in needed):
+            for k in range(max(done + 1, at - size + 1), min(at, last) + 1):
+                window = seq[k : k + size]
+                if sum(vector[w] ** 2 for w in vector.keys() & set(window)) < least**2 - 1e-9:
+                    continue
+                v = {w: (1 + math.log(n)) * idf.get(w, rare) for w, n in Counter(window).items()}
+                score = sum(x * vector.get(w, 0.0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()))
+                if score > best[1]:
+                    best = name, score
+            done = max(done, min(at, last))
+    return best
+
+
 def _frequencies(vocabulary: set[str]):
     """The number of texts with each of these words, and under the empty word that of all texts."""
 
@@ -111,7 +164,7 @@ def _frequencies(vocabulary: set[str]):
 
 def _scan(state, least: float):
     def run(batches: Iterator[pa.RecordBatch]):
-        idf, rare, names, index, keys = state.value
+        idf, rare, names, index, keys, statements, notices = state.value
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 licence, score = [], []
@@ -123,6 +176,13 @@ def _scan(state, least: float):
                             found = best_match(part, idf, rare, names, index)
                             if found[1] > best[1]:
                                 best = found
+                    seq = words(whole)
+                    found = best_window(seq, idf, rare, statements, least)
+                    if found[1] > best[1]:
+                        best = found
+                    if best[1] < least:
+                        found = best_window(seq, idf, rare, notices, least)
+                        best = found if found[1] > best[1] else best
                     licence.append(best[0] if best[1] >= least else None)
                     score.append(best[1])
                 columns = [b.column(0).slice(k, 512), pa.array(licence, pa.string()), pa.array(score, pa.float64())]
@@ -139,12 +199,14 @@ def licence_scan(
     path_col: str = "path",
     least: float = 0.75,
     templates: dict[str, list[str]] | None = None,
+    notices: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Find each file's licence: its own, or that of the nearest ancestor directory that has one.
 
     Every line and sentence of every text is a passage. Its TF-IDF vector is compared with those of
     the templates' statements; document frequencies of their words come from all texts, and any other word
-    weighs as much as the rarest. A passage that shares none of the templates' rarer words with
+    weighs as much as the rarest. Each statement is compared with every run of as many words of the text as well,
+    so it is found over the ends of lines and inside longer sentences. A notice counts where no licence is found. A passage that shares none of the templates' rarer words with
     them can't reach the threshold and isn't compared. A licence file (by its name) that has a licence
     gives it to its directory, of several the first by path; a file without a licence of its own takes the
     one of its nearest ancestor directory, found by joining the prefixes of its path.
@@ -154,29 +216,23 @@ def licence_scan(
 
     Returns doc_id, licence, origin (own, inherited or null), from_path, similarity.
     """
+    if notices is None:
+        notices = NOTICES if templates is None else {}
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     plain = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path")
     )
-    vocabulary = sorted({w for v in templates.values() for t in v for w in words(t)})
+    vocabulary = sorted({w for v in [*templates.values(), *notices.values()] for t in v for w in words(t)})
     seen = plain.select("text").mapInArrow(_frequencies(set(vocabulary)), "word string, n bigint")
     df = dict(seen.groupBy("word").agg(F.sum("n")).collect())  # a row for each of the templates' words
     n = df.pop("", 0)
     idf = {w: math.log((n + 1) / (d + 1)) + 1 for w in vocabulary for d in [df.get(w, 0)]}
     rare = math.log(n + 1) + 1
     names, index = _tables(idf, rare, templates)
-    # words without which a statement cannot be matched to the threshold
-    needed = set()
-    for text in (t for v in templates.values() for t in v):
-        v = {w: (1 + math.log(c)) * idf[w] for w, c in Counter(words(text)).items()}
-        norm, left = sum(x * x for x in v.values()), 0.0
-        for w in sorted(v, key=lambda w: (v[w], w)):
-            left += v[w] ** 2
-            if left >= least**2 * norm:  # the words up to here, without this one, stay below it
-                needed.update(x for x in v if (v[x], x) >= (v[w], w))
-                break
-    state = spark.sparkContext.broadcast((idf, rare, names, index, needed))
+    statements, marks = (_statements(idf, rare, t, least) for t in (templates, notices))
+    needed = {w for *_, v in statements for w in v}
+    state = spark.sparkContext.broadcast((idf, rare, names, index, needed, statements, marks))
     found = plain.mapInArrow(_scan(state, least), "doc_id bigint, own string, similarity double, path string")
     found = scratch.save(found, "found")
     found = found.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))

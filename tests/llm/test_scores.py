@@ -136,3 +136,19 @@ def test_default_training_reads_every_token_and_learns(spark):
     assert sum(x.tokens for x in parts.filter("at = 0").collect()) == 4001 * 120
     by = {x.doc_id: x.per_token for x in scoring.lm_score(df, Scratch(spark)).collect()}
     assert np.mean([by[i] for i, _ in docs]) > by[9000] + 0.3
+
+
+def test_licences_over_lines_and_inside_sentences(spark):
+    bsd = """/* Copyright (c) 2020, X. All rights reserved.
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met: */"""
+    gpl = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{1} either version {2} of the License, or
+# (at your option) any later version."""
+    inside = "The tools of this group were released under the MIT License in March 2020 by the authors."
+    texts = [bsd, gpl.format(":", ",", 3), gpl.format(";", ";", 2), inside, "Copyright X.\nAll rights reserved.", "all the rights of the people"]
+    df = spark.createDataFrame([(i, "p/f.c", t) for i, t in enumerate(texts + ["some other words here"] * 100)], "doc_id bigint, path string, text string")
+    out = {x.doc_id: x.licence for x in licences.licence_scan(df, Scratch(spark)).collect()}
+    assert [out[i] for i in range(7)] == ["BSD-3-Clause", "GPL-3.0", "GPL-2.0", "MIT", "All-Rights-Reserved", None, None]
