@@ -8,13 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A narrow lookup of at most this many rows (about 50 MB) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A lookup of at most this many bytes, by its rows and the items of its arrays, is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if it is a table of at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for a broadcast if its rows are proven to be small enough; pass a written table, which is cheap to measure."""
+    each = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("array", "map"):
+            each = each + 16 + 16 * F.coalesce(F.size(F.col(f"`{field.name}`")), F.lit(0))
+        elif kind in ("string", "binary"):
+            each = each + 16 + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        else:
+            each = each + 8 * (len(field.dataType.fields) if kind == "struct" else 1)
+    size = df.agg(F.sum(each.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:

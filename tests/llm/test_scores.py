@@ -1,7 +1,9 @@
 import inspect
 import random
+import re
 
 import numpy as np
+import pytest
 
 from dieline.llm import licences, lines, quality, scoring
 from dieline.llm.near import Words
@@ -9,46 +11,61 @@ from dieline.llm.scratch import Scratch
 
 
 def plain_lines(docs, percent=80):
-    """Removed line numbers of each (id, text) by comparing all pairs of lines."""
+    """Removed line numbers of each (id, text), given in order, by comparing all pairs of lines; rows that repeat both count once."""
     seen, out = [], {}
-    for i, text in sorted(docs, key=lambda d: d[0]):
+    for i, text in docs:
         gone = []
+        if (i, text) in out:
+            continue
         for pos, line in enumerate((text or "").split("\n")):
-            s = {w for w in line.split(" ") if w}
+            s = {w for w in re.split(r"[ \t\n\x0b\x0c\r]+", line.lower()) if w}
             if s:
                 if any(100 * len(s & t) >= percent * len(s | t) for t in seen):
                     gone.append(pos)
                 seen.append(s)
-        out[i] = gone
+        out[i, text] = gone
     return out
 
 
-def test_line_dedup(spark):
-    r = random.Random(8)
-    vocabulary = [f"w{i}" for i in range(60)]
-    base = [[r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 4, 6, 12, 30]))] for _ in range(25)]
-    docs = [(0, None), (1, ""), (2, "\n \n"), (3, "same line\nsame line")]
-    for i in range(10, 60):
+def line_docs(r):
+    vocabulary = [f"{c}{i}" for i in range(30) for c in "wÉ"]
+    base = [[r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 4, 6, 12, 30, 80]))] for _ in range(25)]
+    docs = [(0, None), (1, ""), (2, "\n \n"), (3, "same line\nsame line"), (4, "Same\tLINE"), (4, "same line\r\x0b"), (4, "same line\r\x0b"), (None, "same line\n"), (None, None)]
+    for i in range(10, 70):
         text = []
         for _ in range(r.randrange(1, 6)):
             line = list(r.choice(base))
-            for _ in range(r.choice([0, 0, 1, 2])):
+            for _ in range(r.choice([0, 0, 1, 2, 8])):
                 line[r.randrange(len(line))] = r.choice(vocabulary)
-            text.append(" ".join(line))
-        docs.append((i, "\n".join(text)))
+            text.append(r.choice([" ", "\t", " \x0b", "\x0c", "\r "]).join(r.choice([w, w.lower()]) for w in line))
+        docs.append((r.choice([i, i, 40]), "\n".join(text)))
+    return docs
+
+
+@pytest.mark.parametrize("options", [{}, {"dense": 0}, {"near_keys": 1, "buckets": 1024, "percent": 70}])
+def test_line_dedup(spark, options):
+    docs = line_docs(random.Random(8))
     df = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id bigint, text string, n_removed int, removed string")
-    want = plain_lines(docs)
-    found = {x.doc_id: x for x in lines.line_dedup(df, Scratch(spark)).collect()}
-    assert {i: x.removed for i, x in found.items()} == want
-    texts = dict(docs)
-    for i, x in found.items():
-        left = [line for k, line in enumerate((texts[i] or "").split("\n")) if k not in want[i]]
-        assert x.text == ("\n".join(left) if want[i] else texts[i])
-    kept = lines.without_repeated_lines(df, Scratch(spark))
+    ordered = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").distinct().collect()
+    ordered = sorted(ordered, key=lambda x: (x.doc_id is None, x.doc_id or 0, x.h))
+    want = plain_lines([(x.doc_id, x.text) for x in ordered], options.get("percent", 80))
+    found = lines.line_dedup(df, Scratch(spark), **options).collect()
+    left = {k: "\n".join(line for n, line in enumerate((k[1] or "").split("\n")) if n not in v) if v else k[1] for k, v in want.items()}
+    key = lambda x: (x[0] is None, x[0] or 0, str(x[1]), x[2] or "")
+    assert sorted(((x.doc_id, x.removed, x.text) for x in found), key=key) == sorted(((i, want[i, t], left[i, t]) for i, t in docs), key=key)
+    assert all(x.n_removed == len(x.removed) for x in found)
+    kept = lines.without_repeated_lines(df, Scratch(spark), **options)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} >= {0, 1, 2, 3}
     assert lines.line_dedup(df.limit(0), Scratch(spark)).collect() == []
 
 
+def test_line_dedup_of_a_long_text(spark):
+    long = "\n".join(f"line {i} of a long text with words a{i} b{i} c{i} d{i}" if i % 10 else "the same line again and again" for i in range(100_000))
+    df = spark.createDataFrame([(1, "The same line again and again"), (2, long)], "doc_id bigint, text string")
+    out = {x.doc_id: x for x in lines.line_dedup(df, Scratch(spark)).collect()}
+    assert out[1].n_removed == 0 and out[2].n_lines == 100_000 and out[2].removed == list(range(0, 100_000, 10))
+
+
 def test_quality_on_held_out_labels(spark):
     r = random.Random(9)
     good = [f"good{i}" for i in range(200)]
