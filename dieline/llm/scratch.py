@@ -27,6 +27,11 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+#: Where the shared folder is a mounted path, Hadoop's local file system writes a checksum file beside each file
+#: and starts two processes to set their modes; raw access does neither. Other file systems ignore this.
+_RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where none is set, local sessions get a temporary one; others must set it."""
     sc = spark.sparkContext
@@ -58,7 +63,7 @@ class Scratch:
         """Write df and read it back. Rows keep whatever ids the plan gave them."""
         schema = df.schema
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**_RAW).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
