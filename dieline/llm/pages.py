@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,106 +37,167 @@ _SCOPES = {"ul", "ol", "dl", "table", "html", "body"}
 _BOILERPLATE = {
     "ad", "ads", "advert", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent",
     "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social",
-    "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "replies", "disqus",
+    "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "replies", "disqus",
     "discussion", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "widget", "footer", "masthead", "alert",
     "contentinfo", "complementary", "search", "searchbox", "tablist", "toc", "tags", "skip", "paywall", "respond",
 }
+#: Words that only say where or what shape something is; next to one of the above they don't change its meaning.
+_SHAPES = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "cell", "col", "column", "container", "content", "element", "form", "global", "group",
+    "grid", "header", "heading", "holder", "icon", "icons", "inner", "item", "items", "item", "left", "line", "link", "links", "list", "main", "message", "module",
+    "outer", "page", "pane", "panel", "posts", "articles", "stories", "primary", "right", "row", "secondary", "section", "side", "site", "slot", "small", "text",
+    "thread", "title", "top", "tower", "unit", "user", "view", "wide", "widget", "wrap", "wrapper", "zone",
+}
+#: The first words of a block of comments.
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader |user |leave a |add a |post a )?(?:comments?|responses|replies|reply)\b\W*(?:\(?\d+\)?)?\s*\Z", re.I)
+#: A flagged block that holds more than this share of a page's points is its article after all.
+_MOST = 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "score", "size", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "out", "flagged", "score", "points", "size", "linked", "links", "left")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: _Node | None, out: bool, flagged: bool = False):
+        self.tag, self.parent, self.out, self.flagged = tag, parent, out, flagged
         self.children: list = []  # nodes and texts
-        self.score = 0.0
+        self.score = self.points = 0.0
         self.size = self.linked = self.links = 0
+        self.left = False
+
 
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether an element's attributes hide it, and whether their words flag it as boilerplate.
 
-def _hidden(tag: str, attributes: str) -> bool:
-    if tag in _OUT:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+    A name flags only if all of its parts are boilerplate or shapes: "ad-slot" does, "notice-of-death" and
+    "side-by-side" don't.
+    """
+    flagged = False
     for name, value in _WORDS.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, flagged
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, flagged
         if name in ("class", "id", "role"):
-            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            if not _BOILERPLATE.isdisjoint(words):
-                return True
-    return False
+            for word in value.split():
+                parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", word)]
+                known = [x for x in parts if x in _BOILERPLATE]
+                flagged |= bool(known) and all(x in _BOILERPLATE or x in _SHAPES for x in parts)
+    return False, flagged
 
 
-def _parse(html: str) -> _Node:
-    root = _Node("#root", None, False)
-    node, at = root, 0
+class _Tree:
+    """The tree of a page, built in time linear in its length.
+
+    An end tag is looked for only where a count says that its element is open within the frame that it can close, and every
+    step of that search closes an element; so stray tags cost nothing.
+    """
 
-    def text(piece: str) -> None:
-        if piece and not node.out:
-            node.children.append(unescape(piece))
+    def __init__(self):
+        self.root = self.node = _Node("#root", None, False)
+        # per frame: how many elements of each name are open; blocks bound inline elements, scopes bound paragraphs and items
+        self.all: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]
+        self.scope: list[Counter] = [Counter()]
+
+    def push(self, tag: str, out: bool, flagged: bool) -> None:
+        new = _Node(tag, self.node, out, flagged)
+        self.node.children.append(new)
+        self.node = new
+        self.all[tag] += 1
+        if tag in _INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.inline.append(Counter())
+        if tag in _SCOPES:
+            self.scope.append(Counter())
+        else:
+            self.scope[-1][tag] += 1
 
+    def pop(self) -> str:
+        tag = self.node.tag
+        self.all[tag] -= 1
+        if tag in _INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        if tag in _SCOPES:
+            self.scope.pop()
+        else:
+            self.scope[-1][tag] -= 1
+        self.node = self.node.parent
+        return tag
+
+    def close(self, tag: str) -> None:
+        """An end tag."""
+        held = self.inline[-1] if tag in _INLINE else self.scope[-1] if tag in ("p", "li") else self.all
+        if held[tag] > 0:
+            while self.pop() != tag:
+                pass
+
+    def imply(self, tag: str) -> None:
+        """The ends that a start tag implies."""
+        same = _ENDS_SAME.get(tag)
+        if same is not None and any(self.scope[-1][x] > 0 for x in same):
+            ended = self.pop()
+            while ended not in same:
+                ended = self.pop()
+            if tag == "tr" and ended != "tr" and self.node.tag == "tr":
+                self.pop()
+        elif tag in _ENDS_P and self.scope[-1]["p"] > 0:
+            # only through inline elements: a block inside the paragraph keeps it open
+            spans = sum(self.inline[-1].values())
+            up = self.node
+            for _ in range(spans):
+                up = up.parent
+            if up.tag == "p":
+                while self.pop() != "p":
+                    pass
+
+    def text(self, piece: str) -> None:
+        if piece and not self.node.out:
+            self.node.children.append(unescape(piece))
+
+
+def _parse(html: str) -> _Node:
+    tree, at = _Tree(), 0
+    raw_end: dict[str, int] = {}  # where the last search for a raw element's end tag found none
     while m := _MARKUP.search(html, at):
         end, start = m.group(1), m.group(2)
-        text(html[at : m.start()])
+        tree.text(html[at : m.start()])
         at = m.end()
         if end is not None:
-            tag, up = end.lower(), node
-            if tag == "br":
-                node.children.append(" ")
-                continue
-            while up is not root and up.tag != tag:
-                if tag in _INLINE and up.tag not in _INLINE or tag in ("p", "li") and up.tag in _SCOPES:
-                    up = root  # the end tag has no start tag here
-                else:
-                    up = up.parent
-            if up is not root:
-                node = up.parent
+            if end.lower() == "br":
+                tree.node.children.append(" ")
+            else:
+                tree.close(end.lower())
         elif start is not None:
             tag = start.lower()
             if tag in _ENDS_P or tag in _ENDS_SAME:
-                ends = _ENDS_SAME.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-                up = node
-                while up is not root and up.tag not in ends and up.tag not in _SCOPES and (up.tag in _INLINE or "p" not in ends or tag in _ENDS_SAME):
-                    up = up.parent
-                if up.tag in ends:
-                    node = up.parent
-                    if tag == "tr" and up.tag != "tr" and node.tag == "tr":
-                        node = node.parent
+                tree.imply(tag)
             if tag in _RAW:  # raw text until its own end tag
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                close = None if tag in raw_end else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                if close is None:
+                    raw_end[tag] = at
                 at = close.end() if close else len(html)
             elif tag in _VOID:
-                if tag in ("br", "hr", "img") and not node.out:
-                    node.children.append(" ")
+                if tag in ("br", "hr", "img") and not tree.node.out:
+                    tree.node.children.append(" ")
             else:
-                new = _Node(tag, node, node.out or _hidden(tag, m.group(3)))
-                node.children.append(new)
-                node = new
-    text(html[at:])
-    return root
+                hidden, flagged = _marks(m.group(3)) if m.group(3) and tag not in ("html", "body") else (False, False)
+                tree.push(tag, tree.node.out or tag in _OUT or hidden, flagged)
+    tree.text(html[at:])
+    return tree.root
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Set the sizes of text and of linked text; returns the nodes, parents first."""
+def _order(root: _Node) -> list[_Node]:
+    """The nodes that can count, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if node.out:
-            continue
-        order.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
-    for node in reversed(order):
-        for c in node.children:
-            if isinstance(c, str):
-                node.size += len(c.strip())
-            elif not c.out:
-                node.size += c.size
-                node.linked += c.size if c.tag == "a" else c.linked
-                node.links += c.links + (c.tag == "a")
+        if not node.out:
+            order.append(node)
+            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
     return order
 
 
@@ -144,30 +206,60 @@ def _density(node: _Node) -> float:
 
 
 def _score(order: list[_Node]) -> None:
-    """A paragraph's points go in full to its parent, by half to the next ancestor, and ever less above."""
-    for node in order:
-        own = "".join([c for c in node.children if isinstance(c, str)])
-        inline = node.tag in _INLINE or node.tag in _HEADINGS
-        if node.tag in _PARAGRAPHS:
-            whole, up = " ".join(_texts(node)), node.parent
-        elif not inline and own.strip():
-            whole, up = own, node
-        else:
-            continue
-        if not whole.strip():
-            continue
-        points = (1 + whole.count(",") + min(len(whole) / 100, 3)) * (1 - _density(node))
-        level = 0
-        while up is not None and up.tag != "#root":
-            if up.tag not in _INLINE:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-                level += 1
-            up = up.parent
-
+    """Points, from the leaves up, each node once.
 
-def _menu(node: _Node) -> bool:
-    """A block that is mostly links."""
-    return node.tag not in _INLINE and node.links >= 3 and _density(node) > 0.6
+    A block's own text (with that of its inline elements, not that of blocks inside) makes a paragraph: a point, one for each comma and
+    up to three for its length, less the share of linked text. A paragraph element hands its points to its parent; any other
+    block has them itself. Half of a container's score goes on to its parent. points counts all paragraphs below a node once.
+    """
+    own: dict[int, list] = {}  # characters, linked ones and commas of the text that a node passes to its block
+    for node in reversed(order):
+        chars = linked = commas = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                chars, commas, node.size = chars + n, commas + c.count(","), node.size + n
+            elif not c.out:
+                node.size += c.size
+                node.linked += c.size if c.tag == "a" else c.linked
+                node.links += c.links + (c.tag == "a")
+                node.score += c.score / 2
+                node.points += c.points
+                if c.tag in _INLINE:
+                    x = own.pop(id(c))
+                    chars, linked, commas = chars + x[0], linked + (x[0] if c.tag == "a" else x[1]), commas + x[2]
+        if node.tag in _INLINE:
+            own[id(node)] = [chars, linked, commas]
+        elif chars and node.tag not in _HEADINGS:
+            points = (1 + commas + min(chars / 100, 3)) * (1 - linked / chars)
+            node.points += points
+            # a parent takes half of a child's score, so a paragraph hands on its points whole
+            node.score += 2 * points if node.tag in _PARAGRAPHS else points
+
+
+def _drop(order: list[_Node]) -> None:
+    """Leave out blocks of boilerplate: flagged ones without most of the page's points, menus, and comments by their heading."""
+    total = order[0].points if order else 0.0
+    # what holds the author's article, where there is one with text
+    named = [n for n in order if n.tag in ("article", "main") and n.points > 0]
+    holds = set()
+    for node in named:
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
+    for node in order:
+        if node.parent is not None and node.parent.left:
+            node.left = True
+        elif node.tag not in ("#root", "html", "body"):
+            minor = node.points <= _MOST * total or bool(named) and id(node) not in holds
+            if node.flagged and minor:
+                node.left = True
+            elif node.tag not in _INLINE and node.links >= 3 and _density(node) > 0.6 and minor:
+                node.left = True
+            elif node.tag in _HEADINGS and node.parent.tag in ("section", "div") and minor and _COMMENTS.match(" ".join(_texts(node)[:1])):
+                first = next((c for c in node.parent.children if not isinstance(c, str) or c.strip()), None)
+                if first is node and node.parent.points <= _MOST * total:
+                    node.parent.left = node.left = True
 
 
 def _texts(node: _Node) -> list[str]:
@@ -187,7 +279,7 @@ def _texts(node: _Node) -> list[str]:
             flush()
         elif isinstance(item, str):
             now.append(item)
-        elif not item.out and not (item is not node and _menu(item)):
+        elif not item.out and not (item is not node and item.left):
             block = item.tag not in _INLINE
             if block:
                 flush()
@@ -197,39 +289,42 @@ def _texts(node: _Node) -> list[str]:
     return blocks
 
 
+def _weight(node: _Node) -> float:
+    """What a container's score counts: its author's word for the article counts twice."""
+    return node.score * (1 - _density(node)) * (2 if node.tag in ("article", "main") else 1)
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: the best container and the siblings that belong to it."""
     root = _parse(html or "")
-    order = _measure(root)
+    order = _order(root)
     _score(order)
-    best = max((n for n in order if n.tag not in _INLINE), key=lambda n: n.score * (1 - _density(n)), default=root)
+    _drop(order)
+    kept = [n for n in order if not n.left]
+    best = max((n for n in kept if n.tag not in _INLINE), key=_weight, default=root)
     if best.score <= 0:
         return " ".join(_texts(root))
-    up = best
-    while up is not None and up.tag not in ("article", "main", "body"):
-        up = up.parent
-    if up is not None and up.tag != "body":  # the author's own container holds the best one
-        return " ".join(_texts(up))
-    if best.parent is None or best.tag in ("body", "html"):
-        return " ".join(_texts(best))
-    parts, least = [], max(10.0, 0.2 * best.score)
-    for c in best.parent.children:
-        if c is best:
-            parts += _texts(c)
-        elif isinstance(c, str):
-            if c.strip():
-                parts.append(" ".join(c.split()))
-        elif not c.out and not _menu(c):
-            paragraph = c.tag in _PARAGRAPHS | _HEADINGS and _density(c) < 0.25
-            if paragraph or c.score * (1 - _density(c)) >= least:
-                parts += _texts(c)
-    return " ".join(parts)
+    # as long as other plain text stands beside it, the container above is the article's, too
+    while best.tag not in ("article", "main", "body", "html") and best.parent is not None and best.parent.tag not in ("html", "#root"):
+        up = best.parent
+        if up.tag == "body":
+            return " ".join(t for c in up.children for t in _sibling(c, best))
+        best = up
+    return " ".join(_texts(best))
+
+
+def _sibling(child: _Node | str, best: _Node) -> list[str]:
+    """The texts of a child of the body: the best container, and what has plain paragraphs or headings of its own."""
+    if isinstance(child, str):
+        return [" ".join(child.split())] if child.strip() else []
+    plain = child.tag in _HEADINGS or child.tag in _INLINE or child.score > 0 and _density(child) < 0.25
+    return _texts(child) if child is best or (not child.out and not child.left and plain) else []
 
 
 def _extract(batches: Iterator[pa.RecordBatch]):
     for b in batches:
-        for k in range(0, b.num_rows, 256):
-            part = b.slice(k, 256)
+        for k in range(0, b.num_rows, 64):
+            part = b.slice(k, 64)
             texts = [main_text(x.as_py()) for x in part.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
@@ -241,10 +336,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Extract the main text of every page.
 
     Elements form a tree, with the usual implied end tags. Paragraphs pass points for their length and
-    commas to their ancestors, discounted by the share of linked text; the container with the most
-    points is kept, within its article or main element if it has one, and else with the siblings that
-    score well or are plain paragraphs or headings. Menus, forms, comments, adverts and the like are left
-    out by element, by the words of class, id and role, and by link density. Pages are independent of each
+    commas to their ancestors, by half from level to level, discounted by the share of linked text; the container with the most
+    points is kept with the siblings that hold plain text, an article or main element with twice its points. Menus, forms, scripts and the like are left out by their
+    elements; blocks whose class, id or role names boilerplate, menus by link density, and comments by their
+    heading, unless they hold most of the page's points. Time is linear in a page's length, whatever its markup. Pages are independent of each
     other: nothing is shuffled.
 
     Cases: a null or empty page, or one without text, gives an empty text. Cut-off markup is read as far
