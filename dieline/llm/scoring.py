@@ -2,52 +2,85 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near import MIX, Words, mix
 from .scratch import Scratch
 
-#: Kinds of tokens by hash (the inputs), classes of kinds (the outputs), and hash slots of single words.
-KINDS, CLASSES, SLOTS = 2048, 128, 1 << 16
-#: Tokens on either side, hidden units, tokens that pass the network at once, tokens in a step of training.
-SIDE, UNITS, STEP, BATCH = 2, 16, 4096, 256
+#: Kinds of neighbours (the inputs), classes of words (the outputs), and the least and the most slots of words.
+KINDS, CLASSES, SLOTS = 4096, 128, (1 << 16, 1 << 22)
+#: Tokens on either side, hidden units, tokens that pass the network at once, and that are held at once beside a whole text.
+SIDE, UNITS, STEP, HELD = 2, 24, 8192, 1 << 19
+_OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
+_CHUNK = 8192
 
 
-def token_hashes(text: str | None, cache: Words) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased, split at ASCII white space."""
+def token_ids(text: str | None, cache: Words) -> np.ndarray:
+    """32 bits of the hashes of the words, A-Z lower-cased, split at ASCII white space."""
     words = (text or "").encode().lower().split()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)).astype(np.uint32).view(np.int32)
 
 
-def windows(h: np.ndarray, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
-    """The kinds of the 2 * SIDE neighbours of each picked token; kind 0 stands outside the text."""
-    kinds = np.zeros(len(h) + 2 * SIDE, np.int64)
-    kinds[SIDE : SIDE + len(h)] = 1 + h % np.uint64(KINDS - 1)
-    spots = [k for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([kinds[k : k + len(h)][pick] for k in spots], 1) + np.arange(2 * SIDE) * KINDS
+class Vocabulary:
+    """What slots of words mean, from their counts over the corpus.
 
+    A word's slot is its hash. The most frequent slots, half as many as there are classes, are classes of their own;
+    the others fill the rest of the classes in order of frequency, each with the same share of all occurrences. A
+    neighbour's kind is its own for the most frequent half of the kinds, else by hash.
+    """
 
-def start_weights(seed: int = 1) -> list[np.ndarray]:
+    def __init__(self, counts: np.ndarray):
+        slots = len(counts)
+        smooth = counts + 1.0
+        order = np.argsort(-counts, kind="stable")
+        own = CLASSES // 2
+        mass = np.cumsum(smooth[order[own:]])
+        self.classes = np.empty(slots, np.uint8)
+        self.classes[order[:own]] = np.arange(own)
+        self.classes[order[own:]] = own + np.minimum((mass - 0.5) / mass[-1] * (CLASSES - own), CLASSES - own - 1).astype(np.uint8)
+        half = KINDS // 2
+        self.kinds = np.empty(slots, np.uint16)
+        self.kinds[order[:half]] = 1 + np.arange(half)
+        self.kinds[order[half:]] = 1 + half + (mix((order[half:].astype(np.uint64) + np.uint64(1)) * MIX[0]) % np.uint64(KINDS - half - 1)).astype(np.uint16)
+        whole = np.bincount(self.classes, smooth, CLASSES)
+        self.prior = np.log(whole) - math.log(whole.sum())
+        self.within = (np.log(smooth) - np.log(whole)[self.classes]).astype(np.float32)
+
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        return ids.view(np.uint32) & np.uint32(len(self.classes) - 1)
+
+
+def start_weights(prior: np.ndarray, seed: int = 1) -> list[np.ndarray]:
+    """Small random weights; before any training, classes have their share of the corpus."""
     r = np.random.default_rng(seed)
-    shapes = [(2 * SIDE * KINDS, UNITS), (UNITS,), (UNITS, CLASSES), (CLASSES,)]
-    return [(r.normal(size=s) * 0.1).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in shapes]
-
-
-def forward(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden units and log-probabilities of the classes of tokens with these neighbours."""
-    hidden, out = _logits(w, around)
-    return hidden, out - np.log(np.exp(out).sum(1, keepdims=True))
-
-
-def _logits(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = w[0][around[:, 0]] + w[1]
-    for k in range(1, around.shape[1]):
-        hidden += w[0][around[:, k]]
+    w0, w2 = r.normal(size=(len(_OFFSETS), KINDS, UNITS)) * 0.1, r.normal(size=(UNITS, CLASSES)) * 0.05
+    return [x.astype(np.float32) for x in (w0, np.zeros(UNITS), w2, prior)]
+
+
+def windows(kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of several texts in one row, with kind 0 between and around them, and where their tokens stand."""
+    row = np.zeros(sum(map(len, kinds)) + SIDE * (len(kinds) + 1), np.int64)
+    spots, at = [], SIDE
+    for k in kinds:
+        row[at : at + len(k)] = k
+        spots.append(np.arange(at, at + len(k)))
+        at += len(k) + SIDE
+    return row, np.concatenate(spots) if spots else np.empty(0, np.int64)
+
+
+def forward(w: list[np.ndarray], around: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden units and logits of the classes of tokens with these neighbours."""
+    hidden = w[0][0][around[0]]
+    for k in range(1, len(around)):
+        hidden += w[0][k][around[k]]
+    hidden += w[1]
     np.tanh(hidden, out=hidden)
     out = hidden @ w[2]
     out += w[3]
@@ -55,172 +88,187 @@ def _logits(w: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.nda
     return hidden, out
 
 
-def target_log_probabilities(w: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log-probability of each token's class, without those of the other classes."""
-    _, out = _logits(w, around)
+def log_probabilities(w: list[np.ndarray], around: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """The log-probability of each token's class given its neighbours."""
+    _, out = forward(w, around)
     own = out[np.arange(len(target)), target]
     return own - np.log(np.exp(out, out=out).sum(1))
 
 
-def train_step(w: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> float:
-    """A step of gradient descent on the mean cross-entropy; returns that."""
-    hidden, d = _logits(w, around)
+def add_gradient(w: list[np.ndarray], around: list[np.ndarray], target: np.ndarray, total: list[np.ndarray]) -> float:
+    """Add the gradient of the summed cross-entropy, in double precision; returns the cross-entropy."""
+    hidden, d = forward(w, around)
     rows = np.arange(len(target))
     own = d[rows, target]
-    total = np.exp(d, out=d).sum(1)
-    loss = float((np.log(total) - own).mean())
-    d /= total[:, None]
+    sums = np.exp(d, out=d).sum(1)
+    loss = float((np.log(sums) - own).sum(dtype=np.float64))
+    d /= sums[:, None]
     d[rows, target] -= 1
-    d *= np.float32(rate / len(target))
+    total[2] += hidden.astype(np.float64).T @ d.astype(np.float64)
+    total[3] += d.sum(0, dtype=np.float64)
     back = (d @ w[2].T) * (1 - hidden * hidden)
-    w[2] -= hidden.T @ d
-    w[3] -= d.sum(0)
-    w[1] -= back.sum(0)
-    # one flat index for each weight: faster than to sort the kinds
-    at = around[:, :, None] * UNITS + np.arange(UNITS)
-    np.subtract.at(w[0].reshape(-1), at.ravel(), np.repeat(back, around.shape[1], 0).ravel())
+    total[1] += back.sum(0, dtype=np.float64)
+    for k, kinds in enumerate(around):
+        for u in range(UNITS):
+            total[0][k][:, u] += np.bincount(kinds, back[:, u], KINDS)
     return loss
 
 
-def class_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each slot, and the log-probability of a slot within its class.
+class Steps:
+    """Adam's steps from summed gradients; the rate falls from round to round."""
 
-    The most frequent slots have half of the classes to themselves; the others share the rest by hash.
-    """
-    own = CLASSES // 2
-    classes = own + (mix(np.arange(SLOTS, dtype=np.uint64) * MIX[0]) % np.uint64(CLASSES - own)).astype(np.int64)
-    classes[np.argsort(-counts, kind="stable")[:own]] = np.arange(own)
-    smooth = counts + 1.0
-    within = np.log(smooth) - np.log(np.bincount(classes, smooth, CLASSES))[classes]
-    return classes, within
+    def __init__(self, w: list[np.ndarray], rate: float, rounds: int):
+        self.w, self.rate, self.rounds, self.turn = w, rate, rounds, 0
+        self.first, self.second = ([np.zeros(x.shape) for x in w] for _ in range(2))
 
+    def step(self, gradient: list[np.ndarray], tokens: int) -> None:
+        self.turn += 1
+        rate = self.rate * (1 - 0.9 * (self.turn - 1) / self.rounds)
+        for k, g in enumerate(gradient):
+            g = g / tokens
+            self.first[k] = 0.8 * self.first[k] + 0.2 * g
+            self.second[k] = 0.9 * self.second[k] + 0.1 * g * g
+            move = self.first[k] / (1 - 0.8**self.turn) / (np.sqrt(self.second[k] / (1 - 0.9**self.turn)) + 1e-7)
+            self.w[k] = (self.w[k] - rate * move).astype(np.float32)
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (mix(h) % np.uint64(SLOTS)).astype(np.int64)
 
+def _encode(batches: Iterator[pa.RecordBatch]):
+    cache = Words()
+
+    def batch(docs, ids, slices):
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(slices, pa.int32())], ["doc_id", "ids", "slice"])
 
-def _count(batches: Iterator[pa.RecordBatch]):
-    cache, counts = Words(), np.zeros(SLOTS, np.int64)
     for b in batches:
-        for k in range(0, b.num_rows, 512):
-            h = [token_hashes(x.as_py(), cache) for x in b.column(0).slice(k, 512)]
-            counts += np.bincount(_slots(np.concatenate(h)), minlength=SLOTS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+        docs, ids, slices, held = [], [], [], 0
+        for doc, text, part in zip(*b.columns, strict=True):
+            docs.append(doc.as_py())
+            ids.append(token_ids(text.as_py(), cache))
+            slices.append(part.as_py())
+            held += len(ids[-1])
+            if held >= HELD:
+                yield batch(docs, ids, slices)
+                docs, ids, slices, held = [], [], [], 0
+        if docs:
+            yield batch(docs, ids, slices)
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of a list column as arrays, in groups of about HELD tokens, with the first row's number."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(np.concatenate([[0], column.value_lengths().fill_null(0).to_numpy()]))
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+        yield start, [values[ends[i] : ends[i + 1]] for i in range(start, end)]
+        start = end
+
+
+def _count(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]):
+        counts = np.zeros(slots, np.int64)
+        for b in batches:
+            counts += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) & np.uint32(slots - 1), minlength=slots)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
+    return run
 
-def _train(state, stride: int, rate: float):
-    def run(batches: Iterator[pa.RecordBatch]):
-        classes, weights = state.value
-        w, cache = [x.copy() for x in weights], Words()
-        around, target, waiting, tokens = [], [], 0, 0
 
-        def step() -> None:
-            a, t = np.concatenate(around), np.concatenate(target)
-            for k in range(0, len(t), BATCH):
-                train_step(w, a[k : k + BATCH], t[k : k + BATCH], rate)
-            around.clear(), target.clear()
+def _gradients(state):
+    """The task's gradient, in chunks: (part, lot, values), and the number of its tokens as part -1."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        words, w = state.value
+        total, tokens = [np.zeros(x.shape) for x in w], 0
         for b in batches:
-            for text in b.column(0):
-                h = token_hashes(text.as_py(), cache)
-                # which tokens train depends on their neighbours alone, not on where the text lies
-                pick = np.flatnonzero(mix(h + np.roll(h, 1)) % np.uint64(stride) == 0) if stride > 1 else slice(None)
-                around.append(windows(h, pick))
-                target.append(classes[_slots(h[pick])])
-                waiting, tokens = waiting + len(target[-1]), tokens + len(target[-1])
-                if waiting >= 16 * STEP:
-                    step()
-                    waiting = 0
-        if waiting:
-            step()
+            for _, texts in _texts(b.column(0)):
+                slots = [words.slots(t) for t in texts]
+                row, spots = windows([words.kinds[s] for s in slots])
+                target = words.classes[np.concatenate(slots)]
+                for k in range(0, len(spots), STEP):
+                    at = spots[k : k + STEP]
+                    add_gradient(w, [row[at + o] for o in _OFFSETS], target[k : k + STEP], total)
+                tokens += len(spots)
         if tokens:
-            flat = np.concatenate([x.ravel() for x in w]).astype(np.float64) * tokens
-            n = len(flat)
-            for k in range(0, n, 20_000):
-                part = flat[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(k, k + len(part))), pa.array(part), pa.array(np.full(len(part), tokens))], ["at", "value", "tokens"]
-                )
+            flat = np.concatenate([x.ravel() for x in total])
+            parts = [flat[k : k + _CHUNK] for k in range(0, len(flat), _CHUNK)] + [np.array([float(tokens)])]
+            lot = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*range(len(parts) - 1), -1], pa.int32()), pa.array([lot] * len(parts), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], ["part", "lot", "values"]
+            )
 
     return run
 
 
-def document_score(h: np.ndarray, w: list[np.ndarray], classes: np.ndarray, within: np.ndarray) -> float:
-    """The sum over the tokens of the log-probability of each given the tokens on both sides."""
-    total = 0.0
-    slots, around = _slots(h), windows(h)
-    for k in range(0, len(h), STEP):
-        part = slots[k : k + STEP]
-        logp = target_log_probabilities(w, around[k : k + STEP], classes[part])
-        total += float(logp.sum(dtype=np.float64) + within[part].sum())
-    return total
+def _sum(key, table):
+    """Rows of one part (of one lot) become their sum."""
+    values = table["values"].combine_chunks()
+    whole = values.flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([whole], pa.list_(pa.float64()))], names=["part", "lot", "values"])
 
 
 def _score(state):
     def run(batches: Iterator[pa.RecordBatch]):
-        classes, within, w = state.value
-        cache = Words()
+        words, w = state.value
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                hashes = [token_hashes(x.as_py(), cache) for x in b.column(1).slice(k, 64)]
-                sizes = [len(h) for h in hashes]
-                # the windows of several documents go through the network together
-                around = np.concatenate([windows(h) for h in hashes])
-                slots = _slots(np.concatenate(hashes))
-                each = np.empty(len(slots))
-                for i in range(0, len(slots), STEP):
-                    part = slots[i : i + STEP]
-                    each[i : i + STEP] = target_log_probabilities(w, around[i : i + STEP], classes[part]) + within[part]
+            for first, texts in _texts(b.column(1)):
+                slots = [words.slots(t) for t in texts]
+                row, spots = windows([words.kinds[s] for s in slots])
+                flat = np.concatenate(slots)
+                each = np.empty(len(flat))
+                for k in range(0, len(spots), STEP):
+                    at = spots[k : k + STEP]
+                    each[k : k + STEP] = log_probabilities(w, [row[at + o] for o in _OFFSETS], words.classes[flat[k : k + STEP]])
+                each += words.within[flat]
+                sizes = [len(t) for t in texts]
                 ends = np.cumsum([0, *sizes])
                 sums = [float(each[a:z].sum()) for a, z in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, 64), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "log_probability"]
-                )
+                docs = b.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "n_tokens", "log_probability"])
 
     return run
 
 
-def lm_score(
-    docs: DataFrame,
-    scratch: Scratch,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rounds: int = 2,
-    stride: int = 1,
-    rate: float = 1.0,
-) -> DataFrame:
-    """Score documents by masked pseudo-likelihood under a network trained on all of them.
+def lm_score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12, rate: float = 0.15) -> DataFrame:
+    """Score documents by masked pseudo-likelihood under a network trained on all of their tokens.
 
     The network predicts a token's class from SIDE tokens on either side; the probability of a word
-    within its class is its share of the class's occurrences in the corpus. Words are counted over
-    all documents. Each round, every partition trains from the same weights on all of its tokens, and
-    the weights are averaged by the number of tokens. A stride above 1 trains on one in stride of the word pairs only. A last pass scores every token of every document.
+    within its class is its share of the class's occurrences. Words are hashed to slots, of which there are the more the
+    more tokens there are: an eighth of their number, from 2 ** 16 to 2 ** 22; the slots' counts over
+    all documents make the classes (Vocabulary). Documents are split by a hash into as many slices as there are
+    rounds; each round sums the gradients of all tokens of one slice, at the same weights, and takes one step, so
+    every token trains once and the result doesn't depend on how rows lie in partitions (up to rounding). A last
+    pass scores every token of every document.
 
     Cases: a null or empty text has no tokens and a log-probability of 0. Null or repeated ids pass
-    through. Other columns are ignored. An empty table gives an empty result.
+    through. A text of any length is one row, whose tokens pass the network in steps. Equal texts have equal scores. Other columns are ignored. An empty table gives an empty result.
 
     Returns doc_id, n_tokens, log_probability (the sum), per_token (null without tokens).
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counted = plain.select("text").mapInArrow(_count, "slot bigint, n bigint")
-    counts = np.zeros(SLOTS)
-    for slot, n in counted.groupBy("slot").agg(F.sum("n")).collect():  # at most SLOTS rows
-        counts[slot] = n
-    classes, within = class_table(counts)
-    w = start_weights()
-    for k in range(rounds):
-        state = spark.sparkContext.broadcast((classes, w))
-        parts = plain.select("text").mapInArrow(_train(state, stride, rate / (1 + k)), "at bigint, value double, tokens bigint")
-        mean = parts.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))
-        # as many rows as there are weights, a fixed number
-        rows = scratch.save(mean, f"weights{k}").toPandas()
-        if len(rows):
-            flat = np.zeros(sum(x.size for x in w))
-            flat[rows["at"].to_numpy()] = rows["value"].to_numpy()
-            ends = np.cumsum([x.size for x in w])[:-1]
-            w = [p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, ends), w, strict=True)]
-    state = spark.sparkContext.broadcast((classes, within, w))
-    out = plain.mapInArrow(_score(state), "doc_id bigint, n_tokens bigint, log_probability double")
+    plain = plain.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int"))
+    tokens = scratch.save(plain.mapInArrow(_encode, "doc_id bigint, ids array<int>, slice int"), "tokens", by=("slice",))
+    total = tokens.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
+    slots = max(SLOTS[0], min(SLOTS[1], 1 << max(0, (total // 8 - 1).bit_length())))
+    counted = tokens.select("ids").mapInArrow(_count(slots), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(slots)
+    found = scratch.save(counted, "counts").toArrow()  # at most SLOTS[1] rows
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    words = Vocabulary(counts)
+    steps = Steps(start_weights(words.prior), rate, rounds)
+    shape = "part int, lot int, values array<double>"
+    for k in range(rounds if total else 0):
+        state = spark.sparkContext.broadcast((words, steps.w))
+        parts = tokens.filter(F.col("slice") == k).select("ids").mapInArrow(_gradients(state), shape)
+        lots = parts.groupBy("part", "lot").applyInArrow(_sum, shape)
+        sums = scratch.save(lots.groupBy("part").applyInArrow(_sum, shape), f"gradient{k}").toArrow()  # as many values as there are weights
+        state.unpersist()
+        if sums.num_rows:
+            by_part = dict(zip(sums["part"].to_pylist(), sums["values"].combine_chunks(), strict=True))
+            flat = np.concatenate([by_part[p].values.to_numpy() for p in range(len(by_part) - 1)])
+            ends = np.cumsum([x.size for x in steps.w])[:-1]
+            steps.step([g.reshape(x.shape) for g, x in zip(np.split(flat, ends), steps.w, strict=True)], int(by_part[-1].values[0].as_py()))
+        scratch.drop(f"gradient{k}")
+    state = spark.sparkContext.broadcast((words, steps.w))
+    out = tokens.select("doc_id", "ids").mapInArrow(_score(state), "doc_id bigint, n_tokens bigint, log_probability double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
