@@ -48,10 +48,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: a document's is its source, language and id."""
+    """The table has no paths: fifty ids are a folder below source and language, and its first id is its licence file, which others inherit from."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return licences.licence_scan(docs.select("doc_id", "text", path.alias("path")), Scratch(spark))
+    folder = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"))
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.licence_scan(docs.select("doc_id", "text", F.concat_ws("/", folder, name).alias("path")), Scratch(spark))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
