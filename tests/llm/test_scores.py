@@ -1,6 +1,7 @@
-import inspect
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -93,35 +94,77 @@ def test_kth_largest(spark):
         assert quality.kth_largest(df, "v", k, bins=8, few=20) == sorted(values, reverse=True)[k - 1]
 
 
-def test_network_learns_and_scores_by_the_definition(spark):
-    r = random.Random(11)
+def sentences(seed=11):
+    r = random.Random(seed)
     pairs = {f"a{i}": f"b{i}" for i in range(20)}
-
-    def sentence():
-        return " ".join(w for _ in range(30) for k in [r.choice(list(pairs))] for w in (k, pairs[k], "and"))
-
-    docs = [(i, sentence()) for i in range(300)] + [(1000, None), (1001, ""), (1002, "a1")]
-    mixed = sentence().split()
+    docs = [(i, " ".join(w for _ in range(40) for k in [r.choice(list(pairs))] for w in (k, pairs[k], "and"))) for i in range(1500)]
+    mixed = docs[0][1].split()
     r.shuffle(mixed)
-    docs += [(2000, " ".join(mixed)), (2000, " ".join(mixed))]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    out = scoring.lm_score(df, Scratch(spark), stride=1, rate=4.0, rounds=3).collect()
-    by = {x.doc_id: x for x in out}
-    assert len(out) == len(docs) and by[1000].n_tokens == 0 and by[1001].log_probability == 0 and by[1001].per_token is None
-    assert np.mean([by[i].per_token for i in range(300)]) > by[2000].per_token + 0.3
+    return docs, " ".join(mixed)
+
+
+def test_training_learns_whatever_the_partitions(spark):
+    docs, mixed = sentences()
+    docs += [(9000, mixed), (9000, mixed), (9001, None), (9002, ""), (9003, "A1"), (None, "a1 b1 and " * 60_000)]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id bigint, text string, ids string, slice int")
+    one = scoring.lm_score(df.repartition(1), Scratch(spark)).collect()
+    many = scoring.lm_score(df.repartition(7, "text"), Scratch(spark)).collect()
+    key = lambda x: (x.doc_id is None, x.doc_id or 0)
+    one, many = sorted(one, key=key), sorted(many, key=key)
+    assert len(one) == len(docs)
+    assert all(x.n_tokens == y.n_tokens and abs((x.per_token or 0) - (y.per_token or 0)) < 1e-6 for x, y in zip(one, many, strict=True))
+    by = {x.doc_id: x for x in one}
+    assert by[9001].n_tokens == by[9002].n_tokens == 0 and by[9001].log_probability == 0 and by[9002].per_token is None
+    assert by[9003].n_tokens == 1 and by[None].n_tokens == 180_000
+    assert np.mean([by[i].per_token for i in range(1500)]) > by[9000].per_token + 0.3
     assert scoring.lm_score(df.limit(0), Scratch(spark)).collect() == []
-    cache, w = Words(), scoring.start_weights()
-    classes, within = scoring.class_table(np.bincount(scoring._slots(scoring.token_hashes(docs[0][1], cache)), minlength=scoring.SLOTS).astype(float))
-    h = scoring.token_hashes(docs[0][1], cache)
-    want = 0.0
-    kinds = [0] * scoring.SIDE + [int(1 + x % np.uint64(scoring.KINDS - 1)) for x in h] + [0] * scoring.SIDE
-    for t, x in enumerate(h):
+
+
+def brute_score(ids, words, w):
+    """The sum of the tokens' log-probabilities, one by one."""
+    slots = [int(x) for x in words.slots(ids)]
+    kinds = [0] * scoring.SIDE + [int(words.kinds[s]) for s in slots] + [0] * scoring.SIDE
+    total = 0.0
+    for t, slot in enumerate(slots):
         around = [kinds[t + k] for k in range(2 * scoring.SIDE + 1) if k != scoring.SIDE]
-        hidden = np.tanh(sum(w[0][k * scoring.KINDS + a] for k, a in enumerate(around)) + w[1])
-        logits = (hidden @ w[2] + w[3]).astype(float)
-        slot = int(scoring._slots(np.array([x]))[0])
-        want += logits[classes[slot]] - np.log(np.exp(logits).sum()) + within[slot]
-    assert abs(scoring.document_score(h, w, classes, within) - want) < 1e-3 * abs(want)
+        hidden = np.tanh(sum(w[0][k][a].astype(float) for k, a in enumerate(around)) + w[1])
+        logits = hidden @ w[2].astype(float) + w[3]
+        total += logits[words.classes[slot]] - np.log(np.exp(logits).sum()) + words.within[slot]
+    return total
+
+
+def test_score_and_gradient_by_the_definition(spark):
+    docs, mixed = sentences()
+    cache = Words()
+    texts = [mixed, "", "a1", "new words here a1 b1", docs[3][1]]
+    ids = [scoring.token_ids(t, cache) for t in texts]
+    counts = np.bincount(np.concatenate([scoring.token_ids(t, cache).view(np.uint32) & np.uint32(0xFFFF) for _, t in docs]), minlength=1 << 16).astype(float)
+    words = scoring.Vocabulary(counts)
+    assert len(set(words.classes.tolist())) == scoring.CLASSES or counts.astype(bool).sum() < scoring.CLASSES
+    assert abs(sum(math.exp(words.within[s]) for s in np.flatnonzero(words.classes == 3)) - 1) < 1e-4
+    r = np.random.default_rng(2)
+    w = [x + (r.normal(size=x.shape) * 0.1).astype(np.float32) for x in scoring.start_weights(words.prior)]
+    state = spark.sparkContext.broadcast((words, w))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(ids)], "doc_id bigint, ids array<int>")
+    out = {x.doc_id: x for x in rows.mapInArrow(scoring._score(state), "doc_id bigint, n_tokens bigint, log_probability double").collect()}
+    for i, x in enumerate(ids):
+        assert out[i].n_tokens == len(x) and abs(out[i].log_probability - brute_score(x, words, w)) < 1e-4 * max(1, len(x))
+
+    got = rows.select("ids").repartition(2).mapInArrow(scoring._gradients(state), "part int, lot int, values array<double>").collect()
+    assert sum(x["values"][0] for x in got if x.part == -1) == sum(map(len, ids))
+    whole = {}
+    for x in got:
+        whole[x.part] = whole.get(x.part, 0) + np.array(x["values"])
+    flat = np.concatenate([whole[k] for k in range(len(whole) - 1)])
+    ends = np.cumsum([x.size for x in w])[:-1]
+    gradient = [g.reshape(x.shape) for g, x in zip(np.split(flat, ends), w, strict=True)]
+    common = int(words.kinds[words.slots(scoring.token_ids("and", cache))[0]])
+    for k, at in ((0, (1, common, 3)), (1, (5,)), (2, (4, 7)), (3, (0,))):
+        up, down = ([x.astype(np.float64).copy() for x in w] for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        slope = (sum(-brute_score(x, words, up) for x in ids) - sum(-brute_score(x, words, down) for x in ids)) / 2e-4
+        assert abs(slope - gradient[k][at]) < 1e-2 * max(1, abs(slope))
 
 
 def test_licences_and_inheritance(spark):
@@ -139,20 +182,46 @@ def test_licences_and_inheritance(spark):
     assert licences.licence_scan(df.limit(0), Scratch(spark)).collect() == []
 
 
-def test_default_training_reads_every_token_and_learns(spark):
-    r = random.Random(12)
-    pairs = [(f"a{i}", f"b{i}") for i in range(20)]
-    docs = [(i, " ".join(w for _ in range(60) for w in r.choice(pairs))) for i in range(4000)]
-    mixed = docs[0][1].split()
-    r.shuffle(mixed)
-    df = spark.createDataFrame([*docs, (9000, " ".join(mixed)), (9001, None)], "doc_id bigint, text string")
-    default = {k: p.default for k, p in inspect.signature(scoring.lm_score).parameters.items()}
-    state = spark.sparkContext.broadcast((scoring.class_table(np.ones(scoring.SLOTS))[0], scoring.start_weights()))
-    run = scoring._train(state, default["stride"], default["rate"])
-    parts = df.select("text").mapInArrow(run, "at bigint, value double, tokens bigint")
-    assert sum(x.tokens for x in parts.filter("at = 0").collect()) == 4001 * 120
-    by = {x.doc_id: x.per_token for x in scoring.lm_score(df, Scratch(spark)).collect()}
-    assert np.mean([by[i] for i, _ in docs]) > by[9000] + 0.3
+GNU = """/* This {what} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {name}
+ * License as published by the Free Software Foundation; either
+ * version {version} of the License, or (at your option) any later version. */"""
+WHOLE = [
+    ("LGPL-2.1", GNU.format(what="library", name="Lesser General Public", version="2.1")), ("LGPL-3.0", GNU.format(what="library", name="Lesser General Public", version="3")),
+    ("GPL-2.0", GNU.format(what="program", name="General Public", version="2")), ("GPL-3.0", GNU.format(what="program", name="General Public", version="3")),
+    ("AGPL-3.0", GNU.format(what="program", name="Affero General Public", version="3")), ("ISC", f"ISC License\n\nCopyright (c) 2020, X\n\n{licences._ISC}"),
+    ("BSD-2-Clause", f"Copyright (c) 2020, X\nAll rights reserved.\n\n{licences._BSD_TWO}\n\n{licences._BSD_END}"),
+    ("BSD-3-Clause", f"Copyright (c) 2020, X\nAll rights reserved.\n\n{licences._BSD_TWO}\n{licences._BSD_NAME}\n\n{licences._BSD_END}"),
+    ("MIT", f"The MIT License\n\n{licences._MIT}"), ("MPL-2.0", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. More of it."),
+    (None, "the code of the version and the software are used in the public domain of this license text with other words, and müssen wir nicht"),
+]
+
+
+def test_whole_licences_and_headers(spark):
+    rows = [(i, f"f{i}/x.c", t) for i, (_, t) in enumerate(WHOLE)]
+    rows += [(100, "long/LICENSE", "word other " * 30_000 + WHOLE[0][1] + " more" * 30_000), (101, "long/a", None)] + [(200 + i, None, f"some other words here {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    out = {x.doc_id: x for x in licences.licence_scan(df, Scratch(spark)).collect()}
+    assert [out[i].licence for i in range(len(WHOLE))] == [name for name, _ in WHOLE]
+    assert out[100].licence == out[101].licence == "LGPL-2.1" and out[101].origin == "inherited" and out[101].from_path == "long/LICENSE"
+
+
+def test_best_window_by_brute_force():
+    r = random.Random(3)
+    templates = {"A": ["a b c d", "a b x y z w v"], "B": ["a b c e", "q r s"]}
+    vocabulary = sorted({w for v in templates.values() for t in v for w in licences.words(t)})
+    idf = {w: 1 + i % 4 for i, w in enumerate(vocabulary)}
+    statements = licences._statements(idf, 6.0, templates, 0.75)
+    for _ in range(400):
+        seq = [r.choice([*vocabulary, "m", "n"]) for _ in range(r.randrange(1, 14))]
+        best = 0.0
+        for _, size, vector, _ in statements:
+            for k in range(max(1, len(seq) - size + 1)):
+                v = {w: (1 + math.log(n)) * idf.get(w, 6.0) for w, n in Counter(seq[k : k + size]).items()}
+                score = sum(x * vector.get(w, 0.0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()))
+                if score >= 0.75:
+                    best = max(best, licences.weight(score, size))
+        assert abs(licences.weight(*licences.best_window(seq, idf, 6.0, statements, 0.75)[1:]) - best) < 1e-9
 
 
 def test_licences_over_lines_and_inside_sentences(spark):
