@@ -142,13 +142,6 @@ def axis(name: Column) -> Column:
 PREFIXES = {15: "f", 12: "p", 9: "n", 6: "u", 3: "m", 2: "%", 0: "", -3: "K", -6: "M", -9: "G", -12: "T"}
 
 
-def prefix(scale: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for k, v in PREFIXES.items():
-        out = out.when(scale == k, F.lit(v))
-    return out.otherwise(F.lit(""))
-
-
 def epoch_text(seconds: Column) -> Column:
     """SC6: DD-Mon-YYYY HH:MM:SS; the session's time zone must be UTC."""
     return F.date_format(F.timestamp_seconds(seconds), "dd-MMM-yyyy HH:mm:ss")

@@ -29,18 +29,21 @@ def part_rollup(rows: DataFrame, by: tuple = ()) -> DataFrame:
 
 
 def kpis(rows: DataFrame, by: tuple = ()) -> DataFrame:
-    """A1."""
+    """A1. Rows are counted by test, lot and wafer first, far fewer than rows; distinct values are counted over those."""
     parts = part_rollup(rows, by).groupBy(*by).agg(
         F.count("*").alias("parts"),
         F.count_if("passed").alias("passed_parts"),
         F.count_distinct("head_num", "site_num").alias("sites"),
     )
-    whole = rows.groupBy(*by).agg(
-        F.count("*").alias("rows"),
-        F.count_distinct("test_num").alias("tests"),
-        F.count_distinct("lot_id").alias("lots"),
-        F.count_distinct("wafer_id").alias("wafers"),
-        F.count_distinct(F.when(~F.col("test_pass"), F.col("test_num"))).alias("failing_tests"),
+    mine = ["test_num", "lot_id", "wafer_id"]
+    keys = [*by, *(F.col(c).alias(f"own_{c}") for c in mine)]
+    some = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or(~F.col("test_pass")).alias("failing"))
+    whole = some.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.count_distinct("own_test_num").alias("tests"),
+        F.count_distinct("own_lot_id").alias("lots"),
+        F.count_distinct("own_wafer_id").alias("wafers"),
+        F.count_distinct(F.when(F.col("failing"), F.col("own_test_num"))).alias("failing_tests"),
     )
     one = F.lit(1).alias("one")
     both = whole.join(parts, list(by)) if by else whole.select("*", one).join(parts.select("*", one), "one")
@@ -99,12 +102,12 @@ def pareto(rows: DataFrame, by: tuple = ()) -> DataFrame:
 
 
 def yields(parts: DataFrame, label: Column, by: tuple = ()) -> DataFrame:
-    """Parts by a label of their first row."""
+    """Parts by a label of their first row, in the order O2."""
     out = parts.groupBy(*by, label.alias("label")).agg(F.count("*").alias("total"), F.count_if("passed").alias("pass"))
     return out.select(
         *by, "label", "total", "pass", (F.col("total") - F.col("pass")).alias("fail"),
         F.round(E.percent(F.col("pass"), F.col("total")), 6).alias("yield_percent"),
-    )
+    ).orderBy(*by, F.desc("fail"), F.asc("yield_percent"), F.asc("label"))
 
 
 def wafer_yield(rows: DataFrame, by: tuple = ()) -> DataFrame:
@@ -175,12 +178,12 @@ def correlations(rows: DataFrame, max_tests: int = MAX_TESTS, by: tuple = ()) ->
 
 
 def xy_map(rows: DataFrame, by: tuple = ()) -> DataFrame:
-    """A10: rows and failing rows by coordinates."""
+    """A10: rows and failing rows by coordinates, in their order."""
     placed = rows.filter("x_coord IS NOT NULL AND y_coord IS NOT NULL")
     out = placed.groupBy(*by, F.col("x_coord").alias("x"), F.col("y_coord").alias("y"))
     out = out.agg(F.count("*").alias("total"), F.count_if(row_failed()).alias("fail"))
     good = E.percent(F.col("total") - F.col("fail"), F.col("total"))
-    return out.withColumn("yield_percent", F.round(good, 6))
+    return out.withColumn("yield_percent", F.round(good, 6)).orderBy(*by, "x", "y")
 
 
 def process_windows(rows: DataFrame, by: tuple = ()) -> DataFrame:
@@ -194,7 +197,7 @@ def process_windows(rows: DataFrame, by: tuple = ()) -> DataFrame:
 
 
 def data_quality(rows: DataFrame, by: tuple = ()) -> DataFrame:
-    """Eight counters over the rows, in one pass."""
+    """Eight counters over the rows, in one pass; labels in order."""
     checks = {
         "missing limits": F.col("lo_limit").isNull() | F.col("hi_limit").isNull(),
         "missing part_id": F.col("part_id") == "",
@@ -209,7 +212,8 @@ def data_quality(rows: DataFrame, by: tuple = ()) -> DataFrame:
     items = F.array(*(F.struct(F.lit(k).alias("label"), F.col(f"c{i}").alias("fail")) for i, k in enumerate(checks)))
     out = one.select(*by, "total", F.explode(items).alias("k")).select(*by, "k.label", "total", "k.fail")
     good = F.col("total") - F.col("fail")
-    return out.select(*by, "label", "total", good.alias("pass"), "fail", F.round(E.percent(good, F.col("total")), 6).alias("yield_percent"))
+    out = out.select(*by, "label", "total", good.alias("pass"), "fail", F.round(E.percent(good, F.col("total")), 6).alias("yield_percent"))
+    return out.orderBy(*by, "label")
 
 
 def row_filter(df: DataFrame, text: str) -> DataFrame:

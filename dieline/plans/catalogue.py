@@ -7,11 +7,14 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..functions import render as R
 from ..operators import analytics as A
 from ..operators import tracing as T
 from ..operators import validation as V
 from ..sources.stdf import distinct_contents
-from .projection import ATTEMPT_SQL, EAV_CTE, STREAM_SQL, duck, eav, project, table
+from ..sources.storage import partition_value
+from . import decoded, traces
+from .projection import ATTEMPT_SQL, EAV_CTE, SECTION_SQL, STREAM_SQL, duck, eav, project, table
 
 _TABLES = {
     "a1_kpis": A.kpis,
@@ -58,6 +61,11 @@ def p14_row_filter(spark, sf_dir):
     return A.row_filter(rows, "PURCHASE")
 
 
+def p15_failures(spark, sf_dir):
+    """Failing tests with at least ten failures."""
+    return A.commonality(eav(spark, sf_dir)).filter("dimension = 'test' AND count >= 10")
+
+
 def p16_lot_switch(spark, sf_dir):
     return A.pareto(eav(spark, sf_dir).filter(F.col("lot_id") == "LOT3"))
 
@@ -66,6 +74,45 @@ def _over_stream(rule, spark, sf_dir):
     return rule(project(spark, sf_dir, STREAM_SQL))
 
 
+def _over_sections(rule, spark, sf_dir):
+    return rule(project(spark, sf_dir, SECTION_SQL))
+
+
+def v11_report(spark, sf_dir):
+    """A15, V11 over the findings of four rules; the sources are those of the stream."""
+    stream = project(spark, sf_dir, SECTION_SQL)
+    rules = {k: V.RULES[k] for k in ("STRUCT/WIR_WRR_PAIR", "STRUCT/BPS_EPS_BALANCE", "ABORT", "FIELD/MIR_LOT_ID")}
+    return V.report(V.check(stream, rules), stream)
+
+
+def p7_flags(spark, sf_dir):
+    """Flags and bins from event ids."""
+    flag = (F.col("event_id") % 256).cast("int")
+    low, high = E.limits_valid(F.when(F.col("event_id") % 11 != 0, flag))
+    return table(spark, sf_dir, "events").select(
+        "event_id", E.ptr_passed(flag).alias("ptr"), E.part_passed(flag).alias("part"), E.traced_passed(flag).alias("traced"),
+        E.valid_bin((F.col("event_id") * 7 % 65536).cast("int")).alias("bin"), low.alias("low"), high.alias("high"),
+    )
+
+
+def p11_partition_values(spark, sf_dir):
+    """P11, SC5: folder names of texts, of no text, and of names that begin with two underscores."""
+    docs = table(spark, sf_dir, "documents").filter("length(text) < 60 OR text IS NULL").select("doc_id", F.substring("text", 1, 25).alias("v"))
+    made = F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("__"), F.upper("v"))).when(F.col("doc_id") % 13 != 0, F.col("v"))
+    return docs.select("doc_id", partition_value(made).alias("folder"))
+
+
+def sc6_texts(spark, sf_dir):
+    """SC4, SC6-SC9: times, hexadecimal lists, scaled values and prefixes."""
+    rows = table(spark, sf_dir, "events")
+    scale = (F.col("event_id") % 25 - 12).cast("int")
+    return rows.select(
+        "event_id", E.epoch_text(F.col("event_id") * 12345).alias("time"), R.hex_list(F.array(F.col("event_id") % 256, F.col("user_id") % 256)).alias("hex"),
+        R.si_prefix(scale).alias("prefix"), F.round(R.scaled(F.col("value"), (F.col("event_id") % 5 - 2).cast("int")), 6).alias("scaled"),
+        R.json_number(F.when(F.col("event_id") % 9 == 0, F.lit(float("inf"))).otherwise(F.col("value"))).alias("number"),
+    )
+
+
 _RULES = {
     "v1_pir_prr_pairs": V.pir_prr_pairs,
     "v4_mir_singleton": V.mir_singleton,
@@ -74,6 +121,13 @@ _RULES = {
     "v9_test_names": V.test_names,
     "x1_attempts": V.attempts,
 }
+_SECTION_RULES = {
+    "v2_wir_wrr_pairs": V.wir_wrr_pairs,
+    "v3_bps_eps_balance": V.bps_eps_balance,
+    "v5_open_sections": V.aborted,
+    "v7_result_present": V.result_present,
+    "v8_lot_id": V.lot_id_present,
+}
 
 
 #: Events as PTRs with limits, and as HBRs and PRRs.
@@ -89,7 +143,7 @@ def v6_limit_order(spark, sf_dir):
 
 def v10_bin_counts(spark, sf_dir):
     rows = project(spark, sf_dir, _BINS_SQL)
-    return V.bin_counts(rows.filter("event_type = 'purchase' AND hard_bin < 15"), rows.filter("event_type = 'signup' AND hard_bin > 2"))
+    return V.bin_counts(rows.filter("event_type = 'purchase'"), rows.filter("event_type = 'signup'"))
 
 
 def r2_cells(spark, sf_dir):
@@ -104,7 +158,7 @@ def r4_matrix(spark, sf_dir):
 
 def s9_distinct_contents(spark, sf_dir):
     """Documents stand for files, their ids for paths."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     files = docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.col("text").cast("binary").alias("content"))
     return distinct_contents(files).select("sha256", "copies", F.col("paths")[0].alias("first_path"))
 
@@ -113,7 +167,9 @@ def queries() -> dict:
     found = {name: partial(_over_eav, operator) for name, operator in _TABLES.items()}
     found |= {f"a13_{n.split('_', 1)[1]}_by_lot": partial(_over_eav, f, by=("lot_id",)) for n, f in _TABLES.items()}
     found |= {name: partial(_over_stream, rule) for name, rule in _RULES.items()}
-    own = (v6_limit_order, v10_bin_counts, r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
+    found |= {name: partial(_over_sections, rule) for name, rule in _SECTION_RULES.items()}
+    found |= decoded.queries() | traces.queries()
+    own = (v11_report, p7_flags, p11_partition_values, p15_failures, sc6_texts, v6_limit_order, v10_bin_counts, r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
     return found | {f.__name__: f for f in own}
 
 
@@ -121,7 +177,7 @@ _FIRST = "arg_min({0}, obs_ord) FILTER (WHERE {0} IS NOT NULL)"
 _PERCENT = "round(CASE WHEN {1} = 0 THEN 0.0 ELSE ({0}) * 100.0 / {1} END, 6)"
 
 
-def _dashboard(by: str) -> dict[str, str]:
+def _dashboard(by: str, where: str = "") -> dict[str, str]:
     """The SQL of the tables; by is empty or the grouping column with a comma."""
     col = by.rstrip(", ")
     group = f"GROUP BY {col}" if by else ""
@@ -143,7 +199,7 @@ def _dashboard(by: str) -> dict[str, str]:
                    count_if(test_pass IS NULL) AS unknown, count_if(limit_failed) AS limit_fail, avg(number) AS mean,
                    stddev_samp(number) AS sigma, min(number) AS min, max(number) AS max,
                    CAST({_FIRST.format("lo_limit")} AS DOUBLE) AS lo_limit, CAST({_FIRST.format("hi_limit")} AS DOUBLE) AS hi_limit
-            FROM eav GROUP BY {by} test_num
+            FROM eav {where} GROUP BY {by} test_num
         )"""
     pareto = "fail DESC, limit_fail DESC, total DESC, label, test_num"
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sigma", "min", "max", "lo_limit", "hi_limit"))
@@ -238,45 +294,98 @@ def oracle_sql() -> dict[str, str]:
     found["p1_row_predicates"] = f"""WITH {EAV_CTE} SELECT obs_ord, failed, limit_failed, coalesce(isfinite(result), false) AS finite,
         label_text AS label, coalesce(wafer_id, '(no wafer)') AS wafer, concat('H', head_num, ' / S', site_num) AS site FROM eav"""
     found["p14_row_filter"] = f"WITH {EAV_CTE} SELECT obs_ord, lot_id, wafer_id, label_text AS label FROM eav WHERE contains(lower(label_text), 'purchase')"
-    found["p16_lot_switch"] = found["a3_pareto"].replace("FROM eav GROUP BY  test_num", "FROM eav WHERE lot_id = 'LOT3' GROUP BY test_num")
-    found |= _STREAMS
+    found["p15_failures"] = f"SELECT * FROM ({found['a8_commonality']}) WHERE dimension = 'test' AND \"count\" >= 10"
+    found["p16_lot_switch"] = _dashboard("", "WHERE lot_id = 'LOT3'")["a3_pareto"]
+    found |= _STREAMS | decoded.oracle_sql() | traces.oracle_sql()
     return found
 
 
 _S = f"WITH s AS ({duck(STREAM_SQL)})"
-_STREAMS = {
-    "v1_pir_prr_pairs": _S + """, p AS (
-            SELECT *, lag(mnemonic) OVER w AS b, lead(mnemonic) OVER w AS a, concat('H', head_num, ' S', site_num) AS place
-            FROM s WHERE mnemonic IN ('PIR', 'PRR') WINDOW w AS (PARTITION BY source_id, head_num, site_num ORDER BY "offset")
+_SECTIONS = f"WITH s AS ({duck(SECTION_SQL)})"
+
+
+def _pairs_sql(head: str, begin: str, end: str, rule: str, site: str, texts: tuple[str, str, str]) -> str:
+    """The SQL of the pair rules; texts are those of a second begin, an end alone and a begin left open."""
+    at = "printf('0x%08x', \"offset\")"
+
+    def said(text: str, *values: str) -> str:
+        parts = text.split("%s")
+        return "concat(" + ", ".join(x for v, r in zip((*values, None), (f"'{p}'" for p in parts), strict=False) for x in (r, v) if x) + ")"
+
+    return head + f""", p AS (
+            SELECT * REPLACE ({site} AS site_num) FROM s WHERE mnemonic IN ('{begin}', '{end}')
+        ), q AS (
+            SELECT *, lag(mnemonic) OVER w AS b, lag("offset") OVER w AS bo, lead(mnemonic) OVER w AS a FROM p
+            WINDOW w AS (PARTITION BY source_id, head_num, site_num ORDER BY "offset")
         ), m AS (
-            SELECT source_id, "offset", CASE WHEN mnemonic = 'PIR' AND b = 'PIR' THEN concat('PIR while open at ', place)
-                   WHEN mnemonic = 'PRR' AND coalesce(b, 'PRR') = 'PRR' THEN concat('PRR without PIR at ', place) END AS message FROM p
-            UNION ALL SELECT source_id, "offset", concat('PIR open at end of file at ', place) FROM p WHERE mnemonic = 'PIR' AND a IS NULL
-        ) SELECT source_id, 'error' AS severity, 'STRUCT/PIR_PRR_PAIR' AS rule, "offset", message FROM m WHERE message IS NOT NULL""",
+            SELECT source_id, mnemonic AS record_type, "offset",
+                   CASE WHEN mnemonic = '{begin}' AND b = '{begin}' THEN {said(texts[0], at, "head_num", "site_num", "printf('0x%08x', bo)")}
+                        WHEN mnemonic = '{end}' AND coalesce(b, '{end}') = '{end}' THEN {said(texts[1], at, "head_num", "site_num")} END AS message FROM q
+            UNION ALL SELECT source_id, '{begin}', "offset", {said(texts[2], at, "head_num", "site_num")} FROM q WHERE mnemonic = '{begin}' AND a IS NULL
+        ) SELECT source_id, 'error' AS severity, '{rule}' AS rule, record_type, "offset", message FROM m WHERE message IS NOT NULL"""
+
+
+#: Running depth of sections by a fold over each file's ordered begins and ends.
+_DEPTHS = """, l AS (
+        SELECT source_id, list({'m': mnemonic, 'o': "offset"} ORDER BY "offset") AS x FROM s WHERE mnemonic IN ('BPS', 'EPS') GROUP BY source_id
+    ), d AS (
+        SELECT source_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM l
+    ), z AS (
+        SELECT source_id, i, x.m AS m, x.o AS o, sum(CASE WHEN x.m = 'BPS' THEN 1 ELSE -1 END) OVER (PARTITION BY source_id ORDER BY i) AS t FROM d
+    ), y AS (
+        SELECT *, least(0, min(t) OVER (PARTITION BY source_id ORDER BY i)) AS low FROM z
+    ), e AS (
+        SELECT source_id, max_by(t - low, i) AS left_open, max(CASE WHEN t = low THEN i ELSE 0 END) AS last_zero FROM y GROUP BY source_id
+    )"""
+_OPEN_SQL = """SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, CAST(NULL AS VARCHAR) AS record_type, CAST(NULL AS BIGINT) AS "offset",
+        'No MRR found; writer likely aborted and bin/lot summary may be incomplete.' AS message FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0"""
+_STREAMS = {
+    "v1_pir_prr_pairs": _pairs_sql(_S, "PIR", "PRR", "STRUCT/PIR_PRR_PAIR", "site_num", (V.PIR_OPEN, V.PRR_ALONE, V.PIR_LEFT)),
+    "v2_wir_wrr_pairs": _pairs_sql(_SECTIONS, "WIR", "WRR", "STRUCT/WIR_WRR_PAIR", "coalesce(site_num, 255)", (V.WIR_OPEN, V.WRR_ALONE, V.WIR_LEFT)),
+    "v3_bps_eps_balance": _SECTIONS + _DEPTHS + """ SELECT source_id, 'error' AS severity, 'STRUCT/BPS_EPS_BALANCE' AS rule, 'EPS' AS record_type, o AS "offset",
+            'EPS without matching BPS' AS message
+        FROM (SELECT *, lag(low, 1, 0) OVER (PARTITION BY source_id ORDER BY i) AS was FROM y) WHERE low < was
+        UNION ALL SELECT e.source_id, 'error', 'STRUCT/BPS_EPS_BALANCE', 'BPS', min(y.o), concat(any_value(left_open), ' BPS record(s) never closed by EPS')
+        FROM e JOIN y ON y.source_id = e.source_id AND y.i > e.last_zero WHERE left_open > 0 GROUP BY e.source_id""",
+    "v5_open_sections": _SECTIONS + _DEPTHS + f""", w AS (
+            SELECT source_id, mnemonic, "offset" AS o, sum(CASE WHEN mnemonic = 'WIR' THEN 1 ELSE -1 END) OVER r AS t FROM s WHERE mnemonic IN ('WIR', 'WRR')
+            WINDOW r AS (PARTITION BY source_id ORDER BY "offset")
+        ), v AS (
+            SELECT source_id, max_by(t - low, o) AS n FROM (SELECT *, least(0, min(t) OVER (PARTITION BY source_id ORDER BY o)) AS low FROM w) GROUP BY source_id
+        ) {_OPEN_SQL}
+        UNION ALL SELECT v.source_id, 'error', 'ABORT/OPEN_WIR', 'WIR', max(s."offset"), concat(any_value(n), ' WIR(s) unclosed by WRR; aborted mid-wafer')
+        FROM v JOIN s ON s.source_id = v.source_id WHERE n > 0 GROUP BY v.source_id
+        UNION ALL SELECT source_id, 'warning', 'ABORT/OPEN_BPS', 'BPS', NULL, concat(left_open, ' BPS section(s) not closed by EPS') FROM e WHERE left_open > 0""",
+    "v7_result_present": """SELECT '' AS source_id, '' AS severity, '' AS rule, '' AS record_type, CAST(0 AS BIGINT) AS "offset", '' AS message WHERE false""",
+    "v8_lot_id": _SECTIONS + """ SELECT source_id, 'warning' AS severity, 'FIELD/MIR_LOT_ID' AS rule, 'MIR' AS record_type, "offset", 'MIR.LOT_ID is empty' AS message
+        FROM s WHERE mnemonic = 'MIR' AND trim(coalesce(lot_id, '')) = ''""",
     "v4_mir_singleton": _S + """, m AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY "offset") AS n FROM s WHERE mnemonic = 'MIR')
-        SELECT source_id, 'error' AS severity, 'STRUCT/MIR_SINGLETON' AS rule, "offset", concat('MIR number ', n) AS message FROM m WHERE n > 1""",
-    "v5_no_mrr": _S + """ SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, max("offset") AS "offset", 'no MRR' AS message
-        FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0""",
-    "v5_aborted": _S + """, o AS (
+        SELECT source_id, 'error' AS severity, 'STRUCT/MIR_SINGLETON' AS rule, 'MIR' AS record_type, "offset",
+               concat('MIR seen ', n, ' times; spec requires exactly one') AS message FROM m WHERE n > 1""",
+    "v5_no_mrr": f"{_S} {_OPEN_SQL}",
+    "v5_aborted": _S + f""", o AS (
             SELECT source_id, head_num, site_num, max("offset") AS "offset" FROM s WHERE mnemonic IN ('PIR', 'PRR') GROUP BY ALL HAVING max_by(mnemonic, "offset") = 'PIR'
-        ) SELECT source_id, 'warning' AS severity, 'ABORT/NO_MRR' AS rule, max("offset") AS "offset", 'no MRR' AS message
-        FROM s GROUP BY source_id HAVING count_if(mnemonic = 'MRR') = 0
-        UNION ALL SELECT source_id, 'error', 'ABORT/OPEN_PIR', "offset", concat('PIR open at end of file at H', head_num, ' S', site_num) FROM o""",
-    "v6_limit_order": f"""SELECT source_id, 'error' AS severity, 'FIELD/PTR_LIMIT_ORDER' AS rule, "offset",
-            concat('low limit above the high one of test ', test_num) AS message
+        ) {_OPEN_SQL}
+        UNION ALL SELECT source_id, 'error', 'ABORT/OPEN_PIR', 'PIR', "offset",
+            concat('PIR for head=', head_num, ' site=', site_num, ' never closed by PRR; aborted during part test') FROM o""",
+    "v6_limit_order": f"""SELECT source_id, 'error' AS severity, 'FIELD/PTR_LIMIT_ORDER' AS rule, 'PTR' AS record_type, "offset",
+            concat('test ', test_num, ' lo_limit ', regexp_replace(CAST(lo_limit AS VARCHAR), '\\.0$', ''), ' > hi_limit 50') AS message
         FROM ({duck(_LIMITS_SQL).replace("AS offset", 'AS "offset"')}) WHERE opt_flag & 80 = 0 AND opt_flag & 160 = 0 AND lo_limit > hi_limit""",
     "v10_bin_counts": f"""WITH b AS ({duck(_BINS_SQL).replace("AS offset", 'AS "offset"')}), e AS (
-            SELECT source_id, head_num, site_num, hard_bin, sum("count") AS n FROM b WHERE event_type = 'purchase' AND hard_bin < 15 GROUP BY ALL
+            SELECT source_id, head_num, site_num, hard_bin, sum("count") AS n FROM b WHERE event_type = 'purchase' GROUP BY ALL
         ), h AS (
             SELECT source_id, hard_bin, CAST(coalesce(sum(n) FILTER (WHERE site_num <> 255), max(n)) AS BIGINT) AS said FROM e GROUP BY ALL
         ), p AS (
-            SELECT source_id, hard_bin, count(*) AS met FROM b WHERE event_type = 'signup' AND hard_bin > 2 GROUP BY ALL
-        ) SELECT source_id, 'warning' AS severity, 'SEMANTIC/HBR_BIN_COUNT' AS rule, CAST(NULL AS BIGINT) AS "offset",
-            concat('bin ', hard_bin, ': ', CASE WHEN said IS NULL THEN 'no HBR' ELSE concat('HBR ', said) END, ': PRR ', coalesce(met, 0)) AS message
+            SELECT source_id, hard_bin, count(*) AS met FROM b WHERE event_type = 'signup' GROUP BY ALL
+        ) SELECT source_id, 'warning' AS severity, 'SEMANTIC/HBR_BIN_COUNT' AS rule, 'HBR' AS record_type, CAST(NULL AS BIGINT) AS "offset",
+            CASE WHEN said IS NULL THEN concat('bin ', hard_bin, ' appears in PRRs (', coalesce(met, 0), ' times) but has no HBR record')
+                 ELSE concat('bin ', hard_bin, ' HBR says ', said, ' but PRR count is ', coalesce(met, 0)) END AS message
         FROM h FULL JOIN p USING (source_id, hard_bin) WHERE said IS NULL OR said <> coalesce(met, 0)""",
-    "v9_test_names": _S + """, t AS (SELECT *, first_value(test_txt) OVER (PARTITION BY source_id, test_num ORDER BY "offset") AS f FROM s WHERE mnemonic = 'PTR')
-        SELECT source_id, 'warning' AS severity, 'SEMANTIC/TEST_NAME_CONSISTENCY' AS rule, "offset",
-               concat('test ', test_num, ' was ', f, ', is ', test_txt) AS message FROM t WHERE test_txt <> f""",
+    "v9_test_names": _S + """, t AS (
+            SELECT *, first_value(test_txt) OVER w AS f, first_value("offset") OVER w AS fo FROM s WHERE mnemonic = 'PTR'
+            WINDOW w AS (PARTITION BY source_id, test_num ORDER BY "offset")
+        ) SELECT source_id, 'warning' AS severity, 'SEMANTIC/TEST_NAME_CONSISTENCY' AS rule, 'PTR' AS record_type, "offset",
+               concat('test_num ', test_num, ' has name "', test_txt, '" here (prev "', f, '" at ', printf('0x%08x', fo), ')') AS message FROM t WHERE test_txt <> f""",
     "x1_attempts": _S + """, o AS (
             SELECT *, mnemonic = 'PIR' OR coalesce(lag(mnemonic) OVER w, 'PRR') = 'PRR' AS opens FROM s WHERE mnemonic IN ('PIR', 'PTR', 'PRR')
             WINDOW w AS (PARTITION BY source_id, head_num, site_num ORDER BY "offset")
@@ -289,8 +398,33 @@ _STREAMS = {
         ) SELECT n.source_id, n.head_num, n.site_num, n."offset", a.prr_offset, CAST(a.part_sequence AS INT) AS part_sequence
         FROM n JOIN a USING (source_id, head_num, site_num, attempt) WHERE n.mnemonic = 'PTR' AND a.prr_offset IS NOT NULL""",
     "s9_distinct_contents": """SELECT sha256(text) AS sha256, count(*) AS copies, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS first_path
-        FROM documents GROUP BY sha256(text)""",
+        FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)""",
+    "p7_flags": """WITH f AS (SELECT event_id, event_id % 256 AS flag, event_id * 7 % 65536 AS bin, CASE WHEN event_id % 11 <> 0 THEN event_id % 256 END AS opt FROM events)
+        SELECT event_id, CASE WHEN flag & 64 = 0 THEN flag & 128 = 0 END AS ptr, flag & 24 = 0 AS part, CASE WHEN flag & 20 = 0 THEN flag & 8 = 0 END AS traced,
+               CASE WHEN bin <= 32767 THEN CAST(bin AS INT) END AS bin, coalesce(opt & 80 = 0, false) AS low, coalesce(opt & 160 = 0, false) AS high FROM f""",
+    "p11_partition_values": """WITH d AS (
+            SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN concat('__', upper(substring(text, 1, 25)))
+                                WHEN doc_id % 13 <> 0 THEN substring(text, 1, 25) END AS v, text FROM documents WHERE length(text) < 60 OR text IS NULL
+        ), e AS (
+            SELECT doc_id, CASE WHEN doc_id % 11 = 0 AND doc_id % 7 <> 0 AND text IS NULL THEN NULL ELSE v END AS v FROM d
+        ) SELECT doc_id, CASE WHEN v IS NULL THEN '__HIVE_DEFAULT_PARTITION__' WHEN v = '' THEN '__empty'
+               ELSE regexp_replace(array_to_string(list_transform(string_split(v, ''), lambda c: CASE WHEN regexp_full_match(c, '[A-Z0-9_-]') THEN c
+                    ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), ''), '^__', '%5F_') END AS folder FROM e""",
+    "sc6_texts": """SELECT event_id, strftime(make_timestamp(event_id * 12345 * 1000000), '%d-%b-%Y %H:%M:%S') AS time,
+               printf('%02X %02X', event_id % 256, user_id % 256) AS hex,
+               CASE event_id % 25 - 12 WHEN 12 THEN 'p' WHEN 9 THEN 'n' WHEN 6 THEN 'u' WHEN 3 THEN 'm' WHEN 2 THEN '%' WHEN -3 THEN 'K' WHEN -6 THEN 'M'
+                    WHEN -9 THEN 'G' WHEN -12 THEN 'T' ELSE '' END AS prefix,
+               round(CASE WHEN event_id % 5 >= 2 THEN value * pow(10.0, event_id % 5 - 2) ELSE value / pow(10.0, 2 - event_id % 5) END, 6) AS scaled,
+               CASE WHEN event_id % 9 <> 0 THEN round(value, 6) END AS number FROM events""",
+    "v11_report": "",
 }
+_PARTS = {k: _STREAMS[k].split(_SECTIONS, 1)[1] for k in ("v2_wir_wrr_pairs", "v3_bps_eps_balance", "v5_open_sections", "v8_lot_id")}
+_STREAMS["v11_report"] = f"""WITH f AS ({" UNION ALL ".join(f"(SELECT source_id, severity, rule FROM ({_SECTIONS}{x}))" for x in _PARTS.values())}), c AS (
+        SELECT source_id, count_if(severity = 'fatal') AS fatal, count_if(severity = 'error') AS error, count_if(severity = 'warning') AS warning,
+               count_if(severity = 'info') AS info, bool_or(starts_with(rule, 'ABORT')) AS likely_aborted FROM f GROUP BY source_id
+    ) SELECT s.source_id, coalesce(fatal, 0) AS fatal, coalesce(error, 0) AS error, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info,
+        CAST(0 AS BIGINT) AS decode_error, c.source_id IS NULL AS is_clean, coalesce(fatal + error, 0) > 0 AS has_errors, coalesce(likely_aborted, false) AS likely_aborted
+    FROM (SELECT DISTINCT source_id FROM ({duck(SECTION_SQL)})) s LEFT JOIN c USING (source_id)"""
 _CELLS = f"""WITH t AS ({duck(ATTEMPT_SQL)}), g AS (
         SELECT device, step, count(*) AS tests, count(DISTINCT passed) > 1 AS verdict_changed, count(DISTINCT hard_bin) > 1 AS hard_bin_changed,
                count(DISTINCT soft_bin) > 1 AS soft_bin_changed, bool_or(passed IS NULL OR hard_bin IS NULL OR soft_bin IS NULL) AS incomplete,

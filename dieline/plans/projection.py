@@ -73,6 +73,14 @@ STREAM_SQL = """
     FROM events
 """
 
+#: Events as wafers, sections and runs in a record stream; some runs have no lot.
+SECTION_SQL = """
+    SELECT concat('g', cast(user_id % 11 AS string)) AS source_id, event_id AS offset, 1 AS head_num, CASE WHEN user_id % 3 = 0 THEN NULL ELSE cast(user_id % 3 AS int) END AS site_num,
+           CASE event_type WHEN 'click' THEN 'WIR' WHEN 'signup' THEN 'WRR' WHEN 'view' THEN 'BPS' WHEN 'purchase' THEN 'EPS' ELSE CASE WHEN user_id % 22 = 5 THEN 'MRR' ELSE 'MIR' END END AS mnemonic,
+           CASE WHEN event_id % 3 = 0 THEN '  ' WHEN event_id % 5 = 0 THEN NULL ELSE 'LOT' END AS lot_id
+    FROM events
+"""
+
 #: Events as test attempts of devices.
 ATTEMPT_SQL = """
     SELECT user_id AS device, event_id AS obs_ord,
