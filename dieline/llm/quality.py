@@ -57,7 +57,7 @@ def _weights(table, buckets: int):
         for b in batches:
             pairs = zip(b.column(1), b.column(2), strict=True)
             w = [log_weight(features(x.as_py(), buckets, cache), g.as_py(), target, raw, sums) if sums[0] else 0.0 for x, g in pairs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(w, pa.float64())], ["doc_id", "row", "log_weight"])
 
     return run
 
@@ -99,6 +99,7 @@ def resample(
     buckets: int = 1 << 15,
     clean_cost: float = 4.0,
     seed: int = 0,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Keep documents by importance weights towards the labelled good ones.
 
@@ -116,23 +117,26 @@ def resample(
     labels of either quality every document stays. Documents tied with the k-th score stay. Null ids
     have no label. Other columns are ignored. An empty table gives an empty result.
 
-    Returns doc_id, log_weight, score, kept: one row per input row.
+    Returns doc_id, log_weight, score, kept: one row per input row; with row_col, a number of the rows that holds
+    whenever they are read, as row as well.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string").alias("text")
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text)
+    row = F.lit(0).cast("bigint") if row_col is None else F.col(row_col).cast("bigint")
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text, row.alias("row"))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic").dropna(subset=["doc_id", "quality"])
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     known = bounded(scratch.save(known, "labels"))
     good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
-    plain = plain.join(known, "doc_id", "left").select("doc_id", "text", good.alias("good"))
+    plain = plain.join(known, "doc_id", "left").select("doc_id", "text", good.alias("good"), "row")
     counted = plain.select("text", "good").mapInArrow(_counts(buckets), "k bigint, target bigint, raw bigint")
     rows = counted.groupBy("k").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()  # at most buckets
     target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
     for k, t, r in rows:
         target[k], raw[k] = t, r
     table = spark.sparkContext.broadcast((target, raw))
-    weighed = plain.mapInArrow(_weights(table, buckets), "doc_id bigint, log_weight double")
+    weighed = plain.mapInArrow(_weights(table, buckets), "doc_id bigint, row bigint, log_weight double")
+    weighed = weighed.drop("row") if row_col is None else weighed
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     weighed = weighed.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform)))
     weighed = scratch.save(weighed, "weighed")
