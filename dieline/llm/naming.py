@@ -31,7 +31,8 @@ def exact_dedup(
     hash_bits exists for tests, which force hash collisions by small values.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), body.alias("body"))
+    # numbers of rows hold once they are written, wherever the rows come from
+    base = scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), body.alias("body")), "numbered")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / F.lit(block_bytes))).cast("int")
     cut = F.substring(F.col("body"), F.col("pos") * block_bytes + 1, F.lit(block_bytes))
     first = F.col("pos") == 0
