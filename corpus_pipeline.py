@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in four stages."""
+"""From raw documents to packed training sequences, in four stages.
+
+A stage's documents are a written table, which is read in the same pieces each time: so numbers of its rows hold, and a
+stage decides on rows, not on ids. Nulls in any column, empty and very long texts, repeated rows and ids, and
+further columns pass as the operators' docstrings say; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +14,26 @@ from dieline.llm import lines, near, packing, quality
 from dieline.llm.scratch import Scratch, bounded
 
 
-def _kept(docs: DataFrame, decided: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents but those whose id was rejected; documents without an id stay."""
-    gone = scratch.save(decided.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a column of a name that they don't have."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def _kept(docs: DataFrame, decided: DataFrame, row: str, scratch: Scratch) -> DataFrame:
+    """The rows of numbered documents but those that were rejected (row, kept)."""
+    gone = scratch.save(decided.filter("NOT kept").select(F.col("row").alias(row)), "gone")
+    return docs.join(bounded(gone), row, "left_anti").drop(row)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject low-quality documents. Rows that repeat an id go if one of them is rejected."""
+    """Reject low-quality documents; each row by its own text, rows without an id as well. Ties stay."""
     scratch = Scratch(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _kept(docs, quality.resample(docs, labels, scratch), scratch)
+    docs, row = _numbered(docs)
+    return _kept(docs, quality.resample(docs, labels, scratch, row_col=row), row, scratch).select([c for c in docs.columns if c != row])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +43,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates over five-word shingles."""
+    """Keep one document of each group of near duplicates over five-word shingles: the first row, whatever the ids. Documents without words stay."""
     scratch = Scratch(spark)
-    return _kept(docs, near.near_dedup(docs, scratch), scratch)
+    docs, row = _numbered(docs)
+    found = near.near_dedup(docs, scratch, id_col=row).select(F.col("doc_id").alias("row"), "kept")
+    return _kept(docs, found, row, scratch).select([c for c in docs.columns if c != row])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", classify), ("lines", dedup_lines), ("near", dedup_near), ("packing", pack)]
 
-#: SQL expresses neither the classifier nor the tokens; tests hold the stages against brute force.
+#: SQL expresses neither the classifier nor the tokens; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
