@@ -11,6 +11,7 @@ from ..functions import render as R
 from ..operators import analytics as A
 from ..operators import tracing as T
 from ..operators import validation as V
+from ..operators.context import wafers
 from ..sources.stdf import distinct_contents
 from ..sources.storage import partition_value
 from . import decoded, traces
@@ -85,6 +86,10 @@ def v11_report(spark, sf_dir):
     return V.report(V.check(stream, rules), stream)
 
 
+def x3_wafers(spark, sf_dir):
+    return wafers(project(spark, sf_dir, _WAFER_SQL))
+
+
 def p7_flags(spark, sf_dir):
     """Flags and bins from event ids."""
     flag = (F.col("event_id") % 256).cast("int")
@@ -130,6 +135,14 @@ _SECTION_RULES = {
 }
 
 
+#: Events as wafers of site groups, groups of sites, and openings.
+_WAFER_SQL = """SELECT concat('h', cast(user_id % 13 AS string)) AS source_id, event_id AS offset, cast(user_id % 2 AS int) AS head_num,
+    CASE event_type WHEN 'click' THEN 'WIR' WHEN 'signup' THEN 'WRR' WHEN 'view' THEN 'SDR' ELSE 'PIR' END AS mnemonic,
+    CASE WHEN event_type IN ('click', 'signup') THEN CASE WHEN event_id % 5 = 0 THEN NULL ELSE cast(event_id % 3 AS int) END ELSE cast(user_id % 4 AS int) END AS site_num,
+    CASE WHEN event_type = 'view' THEN cast(event_id % 4 AS int) END AS site_grp, CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('W', cast(event_id AS string)) END AS wafer_id
+    FROM events"""
+
+
 #: Events as PTRs with limits, and as HBRs and PRRs.
 _LIMITS_SQL = """SELECT concat('f', cast(user_id % 3 AS string)) AS source_id, event_id AS offset, user_id % 5 AS test_num,
     CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 16 ELSE 0 END AS opt_flag, value AS lo_limit, 50.0 AS hi_limit FROM events"""
@@ -169,7 +182,7 @@ def queries() -> dict:
     found |= {name: partial(_over_stream, rule) for name, rule in _RULES.items()}
     found |= {name: partial(_over_sections, rule) for name, rule in _SECTION_RULES.items()}
     found |= decoded.queries() | traces.queries()
-    own = (v11_report, p7_flags, p11_partition_values, p15_failures, sc6_texts, v6_limit_order, v10_bin_counts, r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
+    own = (x3_wafers, v11_report, p7_flags, p11_partition_values, p15_failures, sc6_texts, v6_limit_order, v10_bin_counts, r2_cells, r4_matrix, s9_distinct_contents, a2_part_rollup, i1_merge_keys, p1_row_predicates, p14_row_filter, p16_lot_switch)
     return found | {f.__name__: f for f in own}
 
 
@@ -399,6 +412,19 @@ _STREAMS = {
         FROM n JOIN a USING (source_id, head_num, site_num, attempt) WHERE n.mnemonic = 'PTR' AND a.prr_offset IS NOT NULL""",
     "s9_distinct_contents": """SELECT sha256(text) AS sha256, count(*) AS copies, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS first_path
         FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)""",
+    "x3_wafers": f"""WITH s AS ({duck(_WAFER_SQL).replace("AS offset", "AS o")}), p AS (SELECT * FROM s WHERE mnemonic = 'PIR'), g AS (
+            SELECT p.source_id, p.o, p.head_num, p.site_num, arg_max(d.site_grp, d.o) AS grp
+            FROM p LEFT JOIN s d ON d.mnemonic = 'SDR' AND d.source_id = p.source_id AND d.head_num = p.head_num AND d.site_num = p.site_num AND d.o < p.o GROUP BY ALL
+        ), w AS (
+            SELECT source_id, o, head_num, coalesce(site_num, 255) AS grp, mnemonic = 'WIR' AS active, wafer_id FROM s WHERE mnemonic IN ('WIR', 'WRR')
+        ), k AS (
+            SELECT g.source_id, g.o, g.head_num, g.site_num, g.grp AS mine, w.grp, max(struct_pack(o := w.o, active := w.active, wafer := w.wafer_id)) AS last
+            FROM g JOIN w ON w.source_id = g.source_id AND w.head_num = g.head_num AND w.o < g.o GROUP BY ALL
+        ), a AS (
+            SELECT source_id, o, max(CASE WHEN grp = mine THEN 1 WHEN grp = 255 THEN 0 END) AS best, count(*) AS n,
+                   arg_max(struct_pack(v := last.wafer), CASE WHEN grp = mine THEN 2 WHEN grp = 255 THEN 1 ELSE 0 END) AS top
+            FROM k WHERE last.active GROUP BY source_id, o
+        ) SELECT g.source_id, g.o AS "offset", g.head_num, g.site_num, CASE WHEN best IS NOT NULL OR n = 1 THEN top.v END AS wafer_id FROM g LEFT JOIN a USING (source_id, o)""",
     "p7_flags": """WITH f AS (SELECT event_id, event_id % 256 AS flag, event_id * 7 % 65536 AS bin, CASE WHEN event_id % 11 <> 0 THEN event_id % 256 END AS opt FROM events)
         SELECT event_id, CASE WHEN flag & 64 = 0 THEN flag & 128 = 0 END AS ptr, flag & 24 = 0 AS part, CASE WHEN flag & 20 = 0 THEN flag & 8 = 0 END AS traced,
                CASE WHEN bin <= 32767 THEN CAST(bin AS INT) END AS bin, coalesce(opt & 80 = 0, false) AS low, coalesce(opt & 160 = 0, false) AS high FROM f""",
