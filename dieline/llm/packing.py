@@ -123,7 +123,7 @@ def pack(
     task; best_fit() matches ranks to gaps over at most size runs, and each piece finds its place by
     its rank in the runs.
 
-    Cases: a null or empty text is one token. Rows that repeat or lack an id are packed like any
+    Cases: a null or empty text is one token; a text of any length is encoded whole and cut. Equal lengths go by id, piece and content. Rows that repeat or lack an id are packed like any
     other. Other columns are ignored. An empty table gives an empty result.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
