@@ -13,7 +13,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     links has the bigint columns a and b, in any direction, repeats and loops allowed. Rounds of large
     and small stars halve path lengths; each round is written, and neither links nor labels ever
-    reach the driver. A node's links are never gathered: only their minimum is, pre-aggregated.
+    reach the driver; earlier rounds' tables go. A node's links are never gathered: only their minimum is, pre-aggregated.
     Returns (node, label), without nodes that have no link.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -30,6 +30,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         near = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.save(small, f"{name}_{turn}")
+        scratch.drop(f"{name}_{turn - 1}", f"{name}_{turn}_low", f"{name}_{turn}_large")
         now = _print(edges)
         if now == seen:
             break

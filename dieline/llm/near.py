@@ -148,7 +148,7 @@ def near_dedup(
 
     Cases: a text without words (or null) has n_shingles 0 and stands alone. A null id stands alone with a null
     component. Rows that repeat an id share its component if their texts are near. Other columns are
-    ignored. An empty table gives an empty result.
+    ignored. An empty table gives an empty result. Of the tables in scratch only those that the result reads and the components' links are left.
 
     Returns doc_id, n_shingles, component_id, kept: one row per input row.
     """
@@ -174,7 +174,7 @@ def near_dedup(
     buckets = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
     buckets = scratch.save(buckets.select("key", "pivot"), "buckets")
     members = scratch.save(keys.join(buckets, "key"), "members")
-    scratch.drop("keys")
+    scratch.drop("twice", "keys", "buckets")
 
     involved = members.select("cid").distinct().join(classes.select("cid", "doc_id", "digest"), "cid")
     texts = plain.join(involved, "doc_id").select("doc_id", "text", "digest", "cid")
@@ -199,6 +199,7 @@ def near_dedup(
     named = named.withColumn("label", F.coalesce("label", "cid")).join(top, "pivot", "left")
     far = first.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"))
     named = scratch.save(named.withColumn("top", F.coalesce("top", "pivot")).join(far, ["cid", "pivot"]), "named")
+    scratch.drop("members")
     open_ = scratch.save(named.filter("label <> top").select("pivot").distinct(), "open")
     if not open_.isEmpty():
         around = named.join(open_, "pivot", "left_semi")
@@ -231,6 +232,7 @@ def near_dedup(
     smallest = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     smallest = scratch.save(smallest, "smallest")
     final = scratch.save(label.join(smallest, "label").select("digest", "component_id"), "final")
+    scratch.drop("classes", "items", "first", "part_label", "named", "open", "twice_items", "can", "around", "more", "second", "label", "smallest")
     out = signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))

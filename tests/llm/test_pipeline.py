@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from test_scores import plain_lines
 from test_tokens import check_packing
 
 import corpus_pipeline
-from dieline.llm import quality
+from dieline.llm import lines, near, quality
 from dieline.llm.near import Words
 from dieline.llm.scratch import Scratch
 
@@ -136,3 +138,29 @@ def test_empty_tables(spark, stages, tmp_path):
     tables[0].limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_no_stage_leaves_tables_that_its_result_does_not_read(spark):
+    """A stage's disk counts beside those before it."""
+    words = [f"w{i}" for i in range(60)]
+    text = ["\n".join(" ".join(words[k : k + 9 + i % 2]) for k in range(i % 9, 40, 9)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    scratch = Scratch(spark)
+    lines.repeated_lines(docs, scratch).collect()
+    assert {x.name for x in Path(scratch.root.removeprefix("file:")).iterdir()} == {"gone"}
+    scratch = Scratch(spark)
+    near.near_dedup(docs, scratch).collect()
+    assert {x.name for x in Path(scratch.root.removeprefix("file:")).iterdir() if x.name[:5] not in ("part_", "all_1", "all_2", "all_3")} == {"signed", "final"}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in (found.getAllFiles().apply(i).getName() for i in range(found.getAllFiles().size())) if name.startswith("shuffle_")}
+    was = shuffled()
+    saved = Scratch(spark).save(spark.range(1000).repartition(3), "t")
+    for _ in range(50):
+        if not shuffled() - was:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - was
+    assert saved.count() == 1000
