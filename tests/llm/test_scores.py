@@ -67,6 +67,15 @@ def test_line_dedup_of_a_long_text(spark):
     assert out[1].n_removed == 0 and out[2].n_lines == 100_000 and out[2].removed == list(range(0, 100_000, 10))
 
 
+@pytest.mark.parametrize("share", [1, 1 << 40])
+def test_line_dedup_whatever_the_counted_share(spark, share):
+    docs = [(i, t) for i, (_, t) in enumerate(line_docs(random.Random(3)))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = lines.repeated_lines(df, Scratch(spark), share=share, dense=1)
+    want = {k[0]: v for k, v in plain_lines(docs, 80).items() if v}
+    assert {x["at"]: x.removed for x in found.collect()} == want
+
+
 def test_quality_on_held_out_labels(spark):
     r = random.Random(9)
     good = [f"good{i}" for i in range(200)]
