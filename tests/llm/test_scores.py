@@ -76,6 +76,26 @@ def test_line_dedup_whatever_the_counted_share(spark, share):
     assert {x["at"]: x.removed for x in found.collect()} == want
 
 
+def test_line_dedup_shuffles_classes_once(spark, monkeypatch):
+    """Lines become classes without a shuffle of their prefixes; the join of prefixes deals its rows out once, whole sets aside, and its shorter side is filtered after that."""
+    plans, save = {}, Scratch.save
+
+    def seen(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        plans[name] = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    docs = [(i, t) for i, (_, t) in enumerate(line_docs(random.Random(4)))]
+    found = lines.repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark), dense=1)
+    assert {x["at"]: x.removed for x in found.collect()} == {k[0]: v for k, v in plain_lines(docs, 80).items() if v}
+    assert "Exchange hashpartitioning" not in plans["classes"]
+    plan = [re.sub(r"#\d+L?|plan_id=\d+|^[ :+-]*", "", x) for x in plans["far_pairs"].splitlines()]
+    left, right = (n for n, x in enumerate(plan) if "REPARTITION_BY_COL" in x)
+    assert plan[left : left + 4] == plan[right : right + 4] and any("monotonically_increasing_id" in x for x in plan[:left])
+    assert not any(re.search(r"\bt#", x) for x in plans["late_thick"].splitlines() if "Generate posexplode" in x)
+
+
 def test_quality_on_held_out_labels(spark):
     r = random.Random(9)
     good = [f"good{i}" for i in range(200)]
