@@ -56,3 +56,15 @@ def test_every_event_is_an_attempt(spark, tmp_path, name):
         assert found["tests"].sum() == 7
     else:
         assert set(found["status"]) >= {"missing", "pending", "indeterminate", "not_applicable", "tested"}
+
+
+def test_folders_in_upper_case_keep_their_length(spark, tmp_path):
+    """A sharp s, ligatures, title letters and letters beyond 16 bits have one capital each, or none."""
+    texts = ["Erkeit lich undchschheit\u00df entz", "\ufb01n \u0149a \u1f80b \u1fb2", "\U00010428 \u01c6 \u01c5 \u0131i", "a\nb", "", None]
+    docs = [(11 * (i + 1), t) for i, t in enumerate(texts)] + [(12, "\u00df"), (26, "x"), (77, "a")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = catalogue.queries()["p11_partition_values"](spark, str(tmp_path)).toPandas()
+    assert len(found) == 9 and found.set_index("doc_id")["folder"][11].endswith("%E1%BA%9E")
+    assert rows(found) == rows(con.execute(catalogue.oracle_sql()["p11_partition_values"]).df())
