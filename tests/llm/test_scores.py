@@ -76,6 +76,23 @@ def test_line_dedup_whatever_the_counted_share(spark, share):
     assert {x["at"]: x.removed for x in found.collect()} == want
 
 
+def test_line_dedup_counts_every_line(spark, monkeypatch):
+    """The order of words rests on all lines of all texts, with the options as the queries have them."""
+    counted, save = [], Scratch.save
+
+    def seen(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        if name == "steps":
+            counted.append(out.agg({"count": "sum"}).first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    docs = line_docs(random.Random(5))
+    lines.repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark))
+    words = (re.split(r"[ \t\x0b\x0c\r]+", line.lower()) for _, t in docs for line in (t or "").split("\n"))
+    assert counted == [sum(len({w for w in x if w}) for x in words)]
+
+
 def test_line_dedup_shuffles_classes_once(spark, monkeypatch):
     """Lines become classes without a shuffle of their prefixes; the join of prefixes deals its rows out once, whole sets aside, and its shorter side is filtered after that."""
     plans, save = {}, Scratch.save
