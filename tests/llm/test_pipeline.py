@@ -164,3 +164,19 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffled() - was
     assert saved.count() == 1000
+
+
+def test_lines_stage_counts_every_line(spark, tmp_path, monkeypatch):
+    """The order of words that the stage compares lines by rests on all lines of all documents."""
+    counted, save = [], Scratch.save
+
+    def seen(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        if name == "steps":
+            counted.append(out.agg({"count": "sum"}).first()[0])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    docs = spark.createDataFrame([(i, f"a b{i} c\nd d e{i}") for i in range(9)], "doc_id bigint, text string")
+    assert corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).count() == 9
+    assert counted == [9 * 5]
