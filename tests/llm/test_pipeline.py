@@ -180,3 +180,14 @@ def test_lines_stage_counts_every_line(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b{i} c\nd d e{i}") for i in range(9)], "doc_id bigint, text string")
     assert corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)).count() == 9
     assert counted == [9 * 5]
+
+
+def test_lines_stage_decides_on_rows(spark, tmp_path):
+    """A row's lines are repeated ones even if the earlier row has its id and text; rows without words stay."""
+    a, b = "one two three four five\nsix seven eight nine ten", "red green blue black white\n\none two three four five"
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "x"), (2, b, "x"), (None, b + " grey\npink", "y"), (None, b + " grey\npink", "y"), (5, None, "x"), (5, None, "x"), (6, " \n", "x"), (6, " \n", "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.dedup_lines(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    assert out.columns == ["doc_id", "text", "a.b"]
+    want = [(1, a, "x"), (2, "red green blue black white\n", "x"), (None, "\npink", "y"), (5, None, "x"), (5, None, "x"), (6, " \n", "x"), (6, " \n", "x")]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
