@@ -93,6 +93,23 @@ def test_line_dedup_counts_every_line(spark, monkeypatch):
     assert counted == [sum(len({w for w in x if w}) for x in words)]
 
 
+def test_line_dedup_orders_tokens_of_first_lines_only(spark, monkeypatch):
+    """Repeated lines are found by their hashes; no table of all lines has tokens."""
+    saved, save = {}, Scratch.save
+
+    def seen(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        saved[name] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    docs = [(i, f"one two three four w{i % 3}\nfour one w{i % 3} three two\n \nother words in one line {i}") for i in range(30)]
+    found = lines.repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark))
+    assert {x["at"]: x.removed for x in found.collect()} == {k[0]: v for k, v in plain_lines(docs).items() if v}
+    assert saved["words"][1] == 120 and [k for k, (columns, _) in saved.items() if "p" in columns and "first" in columns] == ["classes"]
+    assert saved["classes"][1] == 33 and "lines" not in saved
+
+
 def test_line_dedup_shuffles_classes_once(spark, monkeypatch):
     """Lines become classes without a shuffle of their prefixes; the join of prefixes deals its rows out once, whole sets aside, and its shorter side is filtered after that."""
     plans, save = {}, Scratch.save
