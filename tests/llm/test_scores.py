@@ -110,6 +110,24 @@ def test_line_dedup_orders_tokens_of_first_lines_only(spark, monkeypatch):
     assert saved["classes"][1] == 33 and "lines" not in saved
 
 
+@pytest.mark.parametrize("copies", [2, 40])
+def test_line_dedup_makes_stars_for_many_similar_lines_only(spark, monkeypatch, copies):
+    """Few similar pairs are found by the join of prefixes alone; the result is the same whole one."""
+    saved, save = {}, Scratch.save
+
+    def seen(self, df, name, *args, **more):
+        saved[name] = df.columns
+        return save(self, df, name, *args, **more)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    base = [f"common{k}" for k in range(20)]
+    docs = [(i, " ".join([*base[: i % 20], f"odd{i}", *base[i % 20 + 1 :]]) if i < copies else " ".join(f"w{i}x{k}" for k in range(9))) for i in range(60)]
+    found = lines.repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark))
+    want = {k[0]: v for k, v in plain_lines(docs).items() if v}
+    assert {x["at"]: x.removed for x in found.collect()} == want and len(want) >= copies - 1
+    assert ("keys" in saved, "stars" in saved) == (copies == 40,) * 2 and "far_pairs" in saved
+
+
 def test_line_dedup_shuffles_classes_once(spark, monkeypatch):
     """Lines become classes without a shuffle of their prefixes; the join of prefixes deals its rows out once, whole sets aside, and its shorter side is filtered after that."""
     plans, save = {}, Scratch.save
